@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicelake.llm import langid, packing, quality, tokens
+from choicelake.llm import ann, decontam, langid, packing, quality, sharding, simhash, tokens, urls
 from choicelake.llm.common import doc_crc, table
 
 
@@ -32,6 +32,21 @@ def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.with_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), 8).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op7_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return tokens.with_token_counts(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -45,11 +60,25 @@ def op8_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url")).select(
+        "page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"),
+        F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"), F.col("url_score").alias("score"),
+    )
+
+
+def op10_prefix_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f
-        for f in (op1_quality_nbsvm, op3_bestfit_packing, op7_bpe_token_counts, op8_language_backoff)
-    }
+    every = (
+        op1_quality_nbsvm, op3_bestfit_packing, op4_spaced_seed_decontamination, op5_simhash_components,
+        op6_bounded_ring_shards, op7_bpe_token_counts, op8_language_backoff, op9_url_language_ratio,
+        op10_prefix_forest_search,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
