@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicelake.llm import ann, decontam, langid, packing, quality, sharding, simhash, tokens, urls
+from choicelake.llm import ann, decontam, langid, licenses, packing, quality, sharding, simhash, tokens, urls
 from choicelake.llm.common import doc_crc, table
 
 
@@ -28,6 +28,12 @@ def op1_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.col("license_score").alias("score")
+    )
+
+
 def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -74,7 +80,7 @@ def op10_prefix_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_quality_nbsvm, op3_bestfit_packing, op4_spaced_seed_decontamination, op5_simhash_components,
+        op1_quality_nbsvm, op2_license_signatures, op3_bestfit_packing, op4_spaced_seed_decontamination, op5_simhash_components,
         op6_bounded_ring_shards, op7_bpe_token_counts, op8_language_backoff, op9_url_language_ratio,
         op10_prefix_forest_search,
     )
