@@ -1,15 +1,598 @@
-"""Every query of the choice engine with its SQL for an independent engine."""
+"""Every query of the choice engine with its SQL for an independent engine.
+
+The main table has an observation per order and an alternative per line number; choices
+follow from a fixed hash, so that estimates are interior.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from choicelake.operators import intervals, reshape, sampling, softmax
+from choicelake.plans.bootstrap import Boot
+from choicelake.plans.models import ChoiceModel, create_choice_model
+
+BETA = np.array([-0.6, 0.8])
+RIDGE = 0.5
+ALTERNATIVES = tuple(range(1, 8))
+KEYS = ("alt_id", "obs_id", "choice")
+SHAPES = np.array([-0.3, 0.2, 0.0, 0.4, -0.1, 0.3, 0.1])
+ETA = SHAPES[1:]
+TAU = np.array([0.1, -0.2, 0.3, 0.05, -0.15, 0.2])
+NESTS = {"low": [1, 2, 3], "high": [4, 5, 6, 7]}
+LAMBDA = np.array([0.8, 0.6])
+MIXED_BETA, SIGMA = np.array([0.4, -0.7, 0.3]), np.array([0.5])
+
+# --- tables -------------------------------------------------------------------------------
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def choice_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = (
+        _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("obs_id"), F.col("l_linenumber").alias("alt_id"))
+        .agg((F.min("l_extendedprice") / 1e5).alias("x1"), (F.min("l_quantity") / 50).alias("x2"))
+    )
+    order = Window.partitionBy("obs_id").orderBy((F.col("obs_id") * F.lit(2654435761) + F.col("alt_id") * F.lit(40503)) % 65521, "alt_id")
+    return lines.withColumn("choice", (F.row_number().over(order) == 1).cast("int"))
+
+
+def panel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _read(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O', 'P')")
+    return orders.select(
+        F.col("o_custkey").alias("mix_id"), F.col("o_orderkey").alias("obs_id"), "o_orderstatus", "o_totalprice",
+        F.explode(F.array(*(F.lit(a) for a in (1, 2, 3)))).alias("alt_id"),
+    ).select(
+        "mix_id", "obs_id", "alt_id", (F.substring(F.lit("FOP"), F.col("alt_id"), F.lit(1)) == F.col("o_orderstatus")).cast("int").alias("choice"),
+        (F.col("o_totalprice") / 1e6 * F.col("alt_id")).alias("x"), F.lit(1.0).alias("intercept"),
+    )
+
+
+def draw_table(panel: DataFrame) -> DataFrame:
+    draws = panel.select("mix_id").distinct().select("mix_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("draw_id"))
+    return draws.withColumn("eta_0", F.sin(F.col("mix_id") * 12.9898 + F.col("draw_id") * 78.233) * 1.5)
+
+
+def priority_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide: each order chooses one of five priorities, all available."""
+    orders = _read(spark, sf_dir, "orders")
+    return orders.select(
+        F.col("o_orderkey").alias("obs_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("choice"),
+        *(F.lit(1).alias(f"av{a}") for a in range(1, 6)),
+    )
+
+
+_LINES = """lines AS (SELECT l_orderkey AS obs_id, l_linenumber AS alt_id, min(l_extendedprice) / 1e5 AS x1, min(l_quantity) / 50 AS x2
+FROM lineitem GROUP BY l_orderkey, l_linenumber),
+t AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY obs_id ORDER BY (obs_id * 2654435761 + alt_id * 40503) % 65521, alt_id) = 1
+THEN 1 ELSE 0 END AS choice FROM lines)"""
+_PANEL = """panel AS (SELECT o_custkey AS mix_id, o_orderkey AS obs_id, a AS alt_id,
+CASE WHEN substr('FOP', a, 1) = o_orderstatus THEN 1 ELSE 0 END AS choice, o_totalprice / 1e6 * a AS x
+FROM orders CROSS JOIN (VALUES (1), (2), (3)) AS alts(a) WHERE o_orderstatus IN ('F', 'O', 'P')),
+draws AS (SELECT mix_id, d AS draw_id, sin(mix_id * CAST(12.9898 AS DOUBLE) + d * CAST(78.233 AS DOUBLE)) * CAST(1.5 AS DOUBLE) AS eta
+FROM (SELECT DISTINCT mix_id FROM panel) CROSS JOIN (VALUES (1), (2), (3), (4)) AS n(d)),
+per_draw AS (SELECT *, e / sum(e) OVER (PARTITION BY obs_id, draw_id) AS p FROM (
+SELECT panel.*, draw_id, exp(CASE alt_id WHEN 2 THEN 0.4e0 WHEN 3 THEN -0.7e0 ELSE 0e0 END + 0.3e0 * x + 0.5e0 * x * eta) AS e
+FROM panel JOIN draws USING (mix_id)))"""
+_V = "(-0.6e0 * x1 + 0.8e0 * x2)"
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(function):
+        _QUERIES[function.__name__] = function
+        if sql is not None:
+            _SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def _r(column, digits: int = 6):
+    return (F.round(column, digits) + 0.0)
+
+
+# --- scans and checks ------------------------------------------------------------------------
+
+
+@query(f"WITH {_LINES} SELECT obs_id, alt_id, choice, x1, x2 FROM t")
+def scan_choice_table(spark, sf_dir):
+    return choice_table(spark, sf_dir).select("obs_id", "alt_id", "choice", "x1", "x2")
+
+
+@query("""SELECT l_orderkey AS obs_id, l_linenumber AS alt_id, count(*) AS n FROM lineitem
+GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
+def dup_check(spark, sf_dir):
+    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("obs_id"), F.col("l_linenumber").alias("alt_id"))
+    return lines.groupBy("obs_id", "alt_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(f"WITH {_LINES} SELECT count(DISTINCT obs_id) AS n_obs, CAST(sum(choice) AS BIGINT) AS n_chosen FROM t")
+def chosen_count_check(spark, sf_dir):
+    return choice_table(spark, sf_dir).agg(F.countDistinct("obs_id").alias("n_obs"), F.sum("choice").alias("n_chosen"))
+
+
+@query("""SELECT o_orderkey AS obs_id FROM orders WHERE CAST(substr(o_orderpriority, 1, 1) AS INTEGER) NOT IN (1, 2, 3, 4)""")
+def unavailable_choice_check(spark, sf_dir):
+    """Orders whose choice would be missing if the fifth priority were not offered."""
+    wide = priority_table(spark, sf_dir).withColumn("av5", F.lit(0))
+    there = F.coalesce(*(F.when(F.col("choice") == a, F.col(f"av{a}")) for a in range(1, 6)), F.lit(0))
+    return wide.where(there == 0).select("obs_id")
+
+
+@query(f"""WITH {_LINES} SELECT alt_id, count(*) AS n_available, CAST(sum(choice) AS BIGINT) AS n_chosen FROM t GROUP BY alt_id""")
+def availability_counts(spark, sf_dir):
+    return choice_table(spark, sf_dir).groupBy("alt_id").agg(F.count("*").alias("n_available"), F.sum("choice").alias("n_chosen"))
+
+
+# --- design and reshape -------------------------------------------------------------------------
+
+
+def _design(spark, sf_dir, specification) -> DataFrame:
+    from choicelake.operators.spec import bind
+
+    table = choice_table(spark, sf_dir)
+    design = bind(specification, ALTERNATIVES)
+    names = [n.replace("[", "").replace("]", "").replace(", ", "_") for n in design.names]
+    return table.select("obs_id", "alt_id", *(t.expression("alt_id").alias(n) for t, n in zip(design.terms, names)))
+
+
+@query(f"WITH {_LINES} SELECT obs_id, alt_id, x1, x2 FROM t")
+def design_all_same(spark, sf_dir):
+    return _design(spark, sf_dir, {"x1": "all_same", "x2": "all_same"})
+
+
+@query(f"WITH {_LINES} SELECT obs_id, alt_id, "
+       + ", ".join(f"CASE WHEN alt_id = {a} THEN x1 ELSE 0e0 END AS x1_{a}" for a in ALTERNATIVES) + " FROM t")
+def design_all_diff(spark, sf_dir):
+    return _design(spark, sf_dir, {"x1": "all_diff"})
+
+
+@query(f"""WITH {_LINES} SELECT obs_id, alt_id, CASE WHEN alt_id IN (1, 2) THEN x1 ELSE 0e0 END AS x1_1_2,
+CASE WHEN alt_id = 3 THEN x1 ELSE 0e0 END AS x1_3, CASE WHEN alt_id IN (4, 5, 6) THEN x2 ELSE 0e0 END AS x2_4_5_6 FROM t""")
+def design_subset_groups(spark, sf_dir):
+    return _design(spark, sf_dir, {"x1": [[1, 2], 3], "x2": [[4, 5, 6]]})
+
+
+@query(f"WITH {_LINES} SELECT obs_id, max(CASE WHEN choice = 1 THEN alt_id END) AS choice, "
+       + ", ".join(f"max(CASE WHEN alt_id = {a} THEN 1 ELSE 0 END) AS availability_{a}" for a in ALTERNATIVES) + ", "
+       + ", ".join(f"max(CASE WHEN alt_id = {a} THEN x1 END) AS x1_{a}" for a in ALTERNATIVES) + ", "
+       + ", ".join(f"max(CASE WHEN alt_id = {a} THEN x2 END) AS x2_{a}" for a in (1, 2)) + " FROM t GROUP BY obs_id")
+def long_to_wide(spark, sf_dir):
+    table = choice_table(spark, sf_dir)
+    return reshape.convert_long_to_wide(table, [], ["x1"], {"x2": [1, 2]}, "obs_id", "alt_id", "choice")
+
+
+@query(f"""WITH {_LINES} SELECT obs_id, CAST(alt_id AS BIGINT) AS alt_id, choice, x1,
+CASE WHEN alt_id <= 2 THEN x2 ELSE 0e0 END AS x2 FROM t""")
+def wide_to_long(spark, sf_dir):
+    wide = long_to_wide(spark, sf_dir)
+    return reshape.convert_wide_to_long(
+        wide, [], {"x1": {a: f"x1_{a}" for a in ALTERNATIVES}, "x2": {a: f"x2_{a}" for a in (1, 2)}},
+        {a: f"availability_{a}" for a in ALTERNATIVES}, "obs_id", "choice",
+    )
+
+
+# --- multinomial logit ----------------------------------------------------------------------------
+
+
+def _model(spark, sf_dir, kind: str = "MNL", table: DataFrame | None = None, **options) -> ChoiceModel:
+    table = choice_table(spark, sf_dir) if table is None else table
+    return create_choice_model(table, *KEYS, {"x1": "all_same", "x2": "all_same"}, kind, **options)
+
+
+def _mnl_frame(spark, sf_dir) -> DataFrame:
+    """Fixed parameters need no look at the data: a projection and one window."""
+    table = choice_table(spark, sf_dir)
+    return softmax.flat(table, F.col("x1") * float(BETA[0]) + F.col("x2") * float(BETA[1]), "obs_id")
+
+
+_P = f"p AS (SELECT *, exp({_V}) / sum(exp({_V})) OVER (PARTITION BY obs_id) AS p FROM t)"
+
+
+@query(f"WITH {_LINES}, {_P} SELECT obs_id, alt_id, round(p, 6) AS probability FROM p")
+def mnl_probability(spark, sf_dir):
+    return _mnl_frame(spark, sf_dir).select("obs_id", "alt_id", F.round("probability", 6).alias("probability"))
+
+
+@query(f"WITH {_LINES}, {_P} SELECT obs_id, round(p, 6) AS probability FROM p WHERE choice = 1")
+def mnl_chosen_probability(spark, sf_dir):
+    return softmax.chosen(_mnl_frame(spark, sf_dir), "choice").select("obs_id", F.round("probability", 6).alias("probability"))
+
+
+@query(f"WITH {_LINES}, {_P} SELECT obs_id, round(sum((choice - p) * (choice - p) / p), 6) AS chi_square FROM p GROUP BY obs_id")
+def individual_chi_square(spark, sf_dir):
+    p = _mnl_frame(spark, sf_dir)
+    each = F.pow(F.col("choice") - F.col("probability"), 2) / F.col("probability")
+    return p.groupBy("obs_id").agg(F.round(F.sum(each), 6).alias("chi_square"))
+
+
+def _values(spark, rows: list[tuple], schema: str = "name string, value double") -> DataFrame:
+    return spark.createDataFrame([(*r[:-1], round(float(r[-1]), 6) + 0.0) for r in rows], schema)
+
+
+def _totals(model: ChoiceModel, theta, second: bool = False, weights=None, ridge: float | None = None, **options):
+    blocks = model.blocks(weights, **options)
+    try:
+        family, theta = model.family(), np.asarray(theta, float)
+        return family.penalised(theta, blocks.evaluate(family, theta, second), ridge)
+    finally:
+        blocks.release()
+
+
+@query(f"WITH {_LINES}, {_P} SELECT 'log_likelihood' AS name, round(sum(choice * ln(p)), 6) AS value FROM p")
+def mnl_loglik(spark, sf_dir):
+    return _values(spark, [("log_likelihood", _totals(_model(spark, sf_dir), BETA).value)])
+
+
+@query(f"""WITH {_LINES}, {_P} SELECT 'log_likelihood' AS name,
+round(sum(choice * ln(p)) - {RIDGE}e0 * (0.36e0 + 0.64e0), 6) AS value FROM p""")
+def ridge_loglik(spark, sf_dir):
+    return _values(spark, [("log_likelihood", _totals(_model(spark, sf_dir), BETA, ridge=RIDGE).value)])
+
+
+@query(f"WITH {_LINES}, {_P} SELECT 'log_likelihood' AS name, round(sum((1 + obs_id % 3) * choice * ln(p)), 6) AS value FROM p")
+def weighted_loglik(spark, sf_dir):
+    return _values(spark, [("log_likelihood", _totals(_model(spark, sf_dir), BETA, weights=1 + F.col("obs_id") % 3).value)])
+
+
+@query(f"""WITH {_LINES} SELECT 'null_log_likelihood' AS name, round(sum(-ln(n)), 6) AS value
+FROM (SELECT obs_id, count(*) AS n FROM t GROUP BY obs_id)""")
+def null_loglik(spark, sf_dir):
+    return _values(spark, [("null_log_likelihood", _totals(_model(spark, sf_dir), np.zeros(2)).value)])
+
+
+@query(f"""WITH {_LINES}, {_P} SELECT 'x1' AS name, round(sum((choice - p) * x1), 6) AS value FROM p
+UNION ALL SELECT 'x2', round(sum((choice - p) * x2), 6) FROM p""")
+def mnl_gradient(spark, sf_dir):
+    return _values(spark, list(zip(("x1", "x2"), _totals(_model(spark, sf_dir), BETA).gradient)))
+
+
+def _pairs(spark, matrix: np.ndarray, n: int) -> DataFrame:
+    names = ("x1", "x2")
+    rows = [(a, b, matrix[i, j] / n) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return _values(spark, rows, "row string, col string, value double")
+
+
+def _matrix_sql(body: str, cell: str) -> str:
+    parts = [f"SELECT 'x{i}' AS row, 'x{j}' AS col, {cell.format(i=i, j=j)} AS value FROM o" for i in (1, 2) for j in (1, 2)]
+    return f"WITH {_LINES}, {_P}, o AS ({body}) " + " UNION ALL ".join(parts)
+
+
+@query(_matrix_sql(
+    """SELECT obs_id, sum(p * x1) AS m1, sum(p * x2) AS m2, sum(p * x1 * x1) AS s11, sum(p * x1 * x2) AS s12,
+    sum(p * x1 * x2) AS s21, sum(p * x2 * x2) AS s22 FROM p GROUP BY obs_id""",
+    "round(-sum(s{i}{j} - m{i} * m{j}) / count(*), 6) + 0e0"))
+def mnl_hessian(spark, sf_dir):
+    """Per observation."""
+    model = _model(spark, sf_dir)
+    return _pairs(spark, _totals(model, BETA, True).hessian, model.data.select("obs_id").distinct().count())
+
+
+@query(_matrix_sql(
+    "SELECT obs_id, sum((choice - p) * x1) AS g1, sum((choice - p) * x2) AS g2 FROM p GROUP BY obs_id",
+    "round(sum(g{i} * g{j}) / count(*), 6) + 0e0"))
+def mnl_fisher_bhhh(spark, sf_dir):
+    model = _model(spark, sf_dir)
+    return _pairs(spark, _totals(model, BETA, True).information, model.data.select("obs_id").distinct().count())
+
+
+@query(f"""WITH {_LINES}, {_P}, s AS (SELECT sum(choice * ln(p)) AS ll, -sum(choice * ln(n)) AS ll0, count(DISTINCT obs_id) AS n_obs
+FROM (SELECT *, count(*) OVER (PARTITION BY obs_id) AS n FROM p))
+SELECT 'rho_squared' AS name, round(1 - ll / ll0, 6) AS value FROM s UNION ALL SELECT 'rho_bar_squared', round(1 - (ll - 2) / ll0, 6) FROM s
+UNION ALL SELECT 'aic', round(-2 * ll + 4, 6) FROM s UNION ALL SELECT 'bic', round(-2 * ll + 2 * ln(n_obs), 6) FROM s""")
+def rho_squared_aic_bic(spark, sf_dir):
+    model = _model(spark, sf_dir)
+    ll, ll0 = _totals(model, BETA).value, _totals(model, np.zeros(2)).value
+    n = model.data.select("obs_id").distinct().count()
+    return _values(spark, [
+        ("rho_squared", 1 - ll / ll0), ("rho_bar_squared", 1 - (ll - 2) / ll0), ("aic", -2 * ll + 4), ("bic", -2 * ll + 2 * math.log(n)),
+    ])
+
+
+GRID = np.array([[-0.6, 0.8], [0.0, 0.0], [0.5, -0.5], [1.0, 1.0]])
+
+
+@query(f"""WITH {_LINES}, g AS (SELECT * FROM (VALUES (0, -0.6e0, 0.8e0), (1, 0e0, 0e0), (2, 0.5e0, -0.5e0), (3, 1e0, 1e0)) AS g(set_id, b1, b2)),
+q AS (SELECT t.*, set_id, exp(b1 * x1 + b2 * x2) AS e FROM t CROSS JOIN g),
+r AS (SELECT *, e / sum(e) OVER (PARTITION BY obs_id, set_id) AS p FROM q)
+SELECT set_id, round(sum(choice * ln(p)), 6) AS log_likelihood FROM r GROUP BY set_id""")
+def multi_param_loglik(spark, sf_dir):
+    model = _model(spark, sf_dir)
+    p = model.predict(model.data, [GRID.T.copy(), None, None, None])
+    return p.groupBy("set_id").agg(F.round(F.sum(F.col("choice") * F.ln("probability")), 6).alias("log_likelihood"))
+
+
+# --- asymmetric family ------------------------------------------------------------------------------
+
+
+def _case(values, first: int = 1) -> str:
+    return "CASE alt_id " + " ".join(f"WHEN {a} THEN CAST({float(v)!r} AS DOUBLE)" for a, v in enumerate(values, first)) + " ELSE 0e0 END"
+
+
+def _shares() -> np.ndarray:
+    from choicelake.functions.transforms import natural_asym
+
+    return natural_asym(ETA, 0)
+
+
+_G, _T, _C = _case(np.exp(SHAPES)), _case(TAU, 2), _case(_shares())
+_H = {
+    "clog": f"CASE WHEN v >= 3.7 THEN exp(v) ELSE ln(exp(exp(v)) - 1) END + {_T}",
+    "scobit": f"-ln(pow(1 + exp(-v), {_G}) - 1) + {_T}",
+    "uneven": f"v + ln(1 + exp(-v)) - ln(1 + exp(-v * {_G}))",
+    "asym": f"ln({_C}) - v * CASE WHEN v >= 0 THEN ln({_C}) ELSE ln((1 - {_C}) / 6) END + {_T}",
+}
+_DV = {
+    "clog": "exp(v) / (1 - exp(-exp(v)))",
+    "scobit": f"{_G} * exp(-v) / (1 + exp(-v)) * pow(1 + exp(-v), {_G}) / (pow(1 + exp(-v), {_G}) - 1)",
+    "uneven": f"1 / (1 + exp(-v)) + {_G} / (1 + exp({_G} * v))",
+    "asym": f"-CASE WHEN v >= 0 THEN ln({_C}) ELSE ln((1 - {_C}) / 6) END",
+}
+_DS = {
+    "scobit": f"-{_G} * ln(1 + exp(-v)) * pow(1 + exp(-v), {_G}) / (pow(1 + exp(-v), {_G}) - 1)",
+    "uneven": f"{_G} * v / (1 + exp({_G} * v))",
+    "asym": f"1 / {_C} - v * CASE WHEN v >= 0 THEN 1 / {_C} ELSE -1 / (1 - {_C}) END",
+}
+_ASYM = {
+    "clog": ("Cloglog", {"intercept_ref_pos": 0}, np.concatenate([TAU, BETA])),
+    "scobit": ("Scobit", {"intercept_ref_pos": 0}, np.concatenate([SHAPES, TAU, BETA])),
+    "uneven": ("Uneven", {}, np.concatenate([SHAPES, BETA])),
+    "asym": ("Asym", {"intercept_ref_pos": 0, "shape_ref_pos": 0}, np.concatenate([ETA, TAU, BETA])),
+}
+
+
+def _family_sql(name: str) -> str:
+    return f"""WITH {_LINES}, v AS (SELECT *, {_V} AS v FROM t), h AS (SELECT *, exp({_H[name]}) AS e FROM v),
+p AS (SELECT *, e / sum(e) OVER (PARTITION BY obs_id) AS p FROM h)"""
+
+
+def _gradient_sql(name: str) -> str:
+    cells = []
+    if name in ("scobit", "uneven"):
+        cells += [(f"Shape_{a}", f"CASE WHEN alt_id = {a} THEN {_DS[name]} ELSE 0e0 END") for a in ALTERNATIVES]
+    if name == "asym":
+        c = _shares()
+        cells += [(f"Shape_{a}", f"({_DS[name]}) * {_C} * (CASE WHEN alt_id = {a} THEN 1e0 ELSE 0e0 END - CAST({float(c[a - 1])!r} AS DOUBLE))") for a in ALTERNATIVES[1:]]
+    if name != "uneven":
+        cells += [(f"Outside_ASC_{a}", f"CASE WHEN alt_id = {a} THEN 1e0 ELSE 0e0 END") for a in ALTERNATIVES[1:]]
+    cells += [(x, f"({_DV[name]}) * {x}") for x in ("x1", "x2")]
+    return _family_sql(name) + " " + " UNION ALL ".join(f"SELECT '{n}' AS name, round(sum((choice - p) * ({e})), 6) + 0e0 AS value FROM p" for n, e in cells)
+
+
+def _split(theta, model):
+    _, shapes, intercepts, beta = model.layout.split(theta)
+    return [beta, intercepts, shapes, None]
+
+
+def _register_family(name: str) -> None:
+    kind, options, theta = _ASYM[name]
+
+    def probability(spark, sf_dir):
+        model = _model(spark, sf_dir, kind, **options)
+        return model.predict(model.data, _split(theta, model)).select("obs_id", "alt_id", F.round("probability", 6).alias("probability"))
+
+    def gradient(spark, sf_dir):
+        model = _model(spark, sf_dir, kind, **options)
+        return _values(spark, list(zip(model.param_names, _totals(model, theta).gradient)))
+
+    probability.__name__, gradient.__name__ = f"{name}_probability", f"{name}_gradient"
+    query(_family_sql(name) + " SELECT obs_id, alt_id, round(p, 6) AS probability FROM p")(probability)
+    query(_gradient_sql(name))(gradient)
+
+
+for _name in _ASYM:
+    _register_family(_name)
+
+# --- nested logit --------------------------------------------------------------------------------------
+
+_NESTED = f"""WITH {_LINES}, v AS (SELECT *, {_V} AS v, CASE WHEN alt_id <= 3 THEN 1 ELSE 2 END AS nest,
+CASE WHEN alt_id <= 3 THEN 0.8e0 ELSE 0.6e0 END AS lam FROM t), s AS (SELECT *, exp(v / lam) AS s FROM v),
+i AS (SELECT *, sum(s) OVER (PARTITION BY obs_id, nest) AS i, max(choice) OVER (PARTITION BY obs_id, nest) AS c FROM s),
+p AS (SELECT *, s / i AS q, pow(i, lam) / sum(s * pow(i, lam - 1)) OVER (PARTITION BY obs_id) AS r FROM i),
+z AS (SELECT *, q * r AS p FROM p)"""
+_THETA = np.concatenate([np.log(LAMBDA / (1 - LAMBDA)), BETA])
+
+
+def _nested(spark, sf_dir) -> ChoiceModel:
+    return _model(spark, sf_dir, "Nested Logit", nest_spec=NESTS)
+
+
+def _nested_frame(spark, sf_dir) -> DataFrame:
+    model = _nested(spark, sf_dir)
+    return model.predict(model.data, [BETA, None, None, _THETA[:2]])
+
+
+@query(f"{_NESTED} SELECT obs_id, alt_id, round(p, 6) AS probability FROM z")
+def nested_probability(spark, sf_dir):
+    return _nested_frame(spark, sf_dir).select("obs_id", "alt_id", F.round("probability", 6).alias("probability"))
+
+
+@query(f"{_NESTED} SELECT obs_id, alt_id, round(q, 6) AS p_given_nest, round(r, 6) AS p_nest, round(i, 6) AS inclusive FROM z")
+def nested_components(spark, sf_dir):
+    return _nested_frame(spark, sf_dir).select("obs_id", "alt_id", *(F.round(c, 6).alias(c) for c in ("p_given_nest", "p_nest", "inclusive")))
+
+
+@query(f"{_NESTED} SELECT 'log_likelihood' AS name, round(sum(choice * ln(p)), 6) AS value FROM z")
+def nested_loglik(spark, sf_dir):
+    return _values(spark, [("log_likelihood", _totals(_nested(spark, sf_dir), _THETA).value)])
+
+
+@query(f"""{_NESTED}, g AS (SELECT *, (p - c * q) * v / lam - (choice - c * q) * v / lam / lam + (c - r) * ln(i) / count(*) OVER (PARTITION BY obs_id, nest) AS gl,
+choice / lam - q * c / lam + q * c - p AS gb FROM z)
+SELECT 'low' AS name, round(sum(gl * lam * (1 - lam)), 6) AS value FROM g WHERE nest = 1
+UNION ALL SELECT 'high', round(sum(gl * lam * (1 - lam)), 6) FROM g WHERE nest = 2
+UNION ALL SELECT 'x1', round(sum(gb * x1), 6) FROM g UNION ALL SELECT 'x2', round(sum(gb * x2), 6) FROM g""")
+def nested_gradient(spark, sf_dir):
+    model = _nested(spark, sf_dir)
+    return _values(spark, list(zip(model.param_names, _totals(model, _THETA).gradient)))
+
+
+# --- mixed logit ---------------------------------------------------------------------------------------
+
+
+def _mixed(table: DataFrame) -> ChoiceModel:
+    spec = {"intercept": [2, 3], "x": "all_same"}
+    return create_choice_model(table, *KEYS, spec, "Mixed Logit", mixing_id_col="mix_id", mixing_vars=["x"])
+
+
+def _panel_draws(spark, sf_dir) -> DataFrame:
+    table = panel_table(spark, sf_dir)
+    return _mixed(table)._per_draw(table, draw_table(table), np.concatenate([MIXED_BETA, SIGMA]))
+
+
+@query(f"WITH {_PANEL} SELECT obs_id, alt_id, round(avg(p), 6) AS probability FROM per_draw GROUP BY obs_id, alt_id")
+def mixed_probability(spark, sf_dir):
+    p = softmax.averaged(_panel_draws(spark, sf_dir), ["obs_id", "alt_id"])
+    return p.select("obs_id", "alt_id", F.round("probability", 6).alias("probability"))
+
+
+@query(f"""WITH {_PANEL} SELECT mix_id, draw_id, round(sum(choice * ln(p)), 6) AS log_probability FROM per_draw GROUP BY mix_id, draw_id""")
+def mixed_sequence_probability(spark, sf_dir):
+    s = softmax.sequences(_panel_draws(spark, sf_dir), "mix_id", "choice")
+    return s.select("mix_id", "draw_id", F.round(F.ln("sequence_probability"), 6).alias("log_probability"))
+
+
+@query(f"""WITH {_PANEL}, s AS (SELECT mix_id, draw_id, exp(sum(choice * ln(p))) AS s FROM per_draw GROUP BY mix_id, draw_id),
+m AS (SELECT mix_id, avg(s) AS m FROM s GROUP BY mix_id) SELECT 'log_likelihood' AS name, round(sum(ln(m)), 6) AS value FROM m""")
+def mixed_loglik(spark, sf_dir):
+    """As two aggregations over the draws; the kernel's value is tested against it."""
+    s = softmax.sequences(_panel_draws(spark, sf_dir), "mix_id", "choice").groupBy("mix_id").agg(F.avg("sequence_probability").alias("m"))
+    return s.agg(F.round(F.sum(F.ln("m")), 6).alias("value")).select(F.lit("log_likelihood").alias("name"), "value")
+
+
+@query(f"""WITH {_PANEL}, s AS (SELECT mix_id, draw_id, exp(sum(choice * ln(p))) AS s FROM per_draw WHERE obs_id % 2 = 0 GROUP BY mix_id, draw_id),
+w AS (SELECT mix_id, draw_id, s / sum(s) OVER (PARTITION BY mix_id) AS w FROM s)
+SELECT obs_id, alt_id, round(sum(coalesce(w, 0.25e0) * p), 6) AS probability FROM per_draw LEFT JOIN w USING (mix_id, draw_id)
+WHERE obs_id % 2 = 1 GROUP BY obs_id, alt_id""")
+def panel_predict(spark, sf_dir):
+    """Even orders are the past, odd ones the future."""
+    table = panel_table(spark, sf_dir)
+    new = table.where("obs_id % 2 = 1")
+    p = _mixed(table.where("obs_id % 2 = 0")).panel_predict(new, 4, param_list=[np.concatenate([MIXED_BETA, SIGMA]), None, None, None], draws=draw_table(new))
+    return p.select("obs_id", "alt_id", F.round("probability", 6).alias("probability"))
+
+
+# --- resampling and intervals -----------------------------------------------------------------------------
+
+
+@query(f"WITH {_LINES} SELECT alt_id AS alternative, count(DISTINCT obs_id) AS n_obs FROM t WHERE choice = 1 GROUP BY alt_id")
+def strata_counts(spark, sf_dir):
+    return sampling.strata_counts(choice_table(spark, sf_dir), "obs_id", "alt_id", "choice")
+
+
+@query(f"""WITH {_LINES}, s AS (SELECT rep, CAST(row_number() OVER (PARTITION BY rep ORDER BY obs_id, twice) AS INTEGER) AS bootstrap_id, obs_id
+FROM (SELECT DISTINCT obs_id, CAST(obs_id % 50 AS INTEGER) AS rep FROM t WHERE obs_id % 50 IN (1, 2)) CROSS JOIN (VALUES (1), (2)) AS n(twice))
+SELECT rep, bootstrap_id, obs_id, alt_id, choice, x1 FROM s JOIN t USING (obs_id)""")
+def bootstrap_rows(spark, sf_dir):
+    table = choice_table(spark, sf_dir)
+    some = table.where("obs_id % 50 in (1, 2)").select("obs_id", (F.col("obs_id") % 50).cast("int").alias("rep")).distinct()
+    some = some.select("obs_id", "rep", F.explode(F.array(F.lit(1), F.lit(2))).alias("twice"))
+    order = Window.partitionBy("rep").orderBy("obs_id", "twice")
+    samples = some.withColumn("bootstrap_id", F.row_number().over(order)).select("rep", "bootstrap_id", "obs_id")
+    return sampling.bootstrap_rows(table, "obs_id", samples).select("rep", "bootstrap_id", "obs_id", "alt_id", "choice", "x1")
+
+
+@query(f"""WITH {_LINES}, d AS (SELECT alt_id AS deleted, count(*) AS own, sum(x1) AS x FROM t GROUP BY alt_id)
+SELECT deleted, (SELECT count(*) FROM t) - own AS n_rows, round((SELECT sum(x1) FROM t) - x, 3) AS sum_x1 FROM d""")
+def jackknife_counts(spark, sf_dir):
+    """Leave out one alternative at a time."""
+    table = choice_table(spark, sf_dir)
+    deletions = table.select(F.col("alt_id").alias("deleted")).distinct()
+    left = sampling.without_each(table, "alt_id", deletions)
+    return left.groupBy("deleted").agg(F.count("*").alias("n_rows"), F.round(F.sum("x1"), 3).alias("sum_x1"))
+
+
+def _replicates(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "events").where("value is not null").select(F.col("event_id").alias("rep"), F.col("event_type").alias("parameter"), "value")
+
+
+@query("""WITH v AS (SELECT event_type AS parameter, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k,
+count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT parameter, max(CASE WHEN k = floor(round(0.05e0 * (n - 1), 9)) + 1 THEN value END) AS lower,
+max(CASE WHEN k = ceil(round(0.95e0 * (n - 1), 9)) + 1 THEN value END) AS upper FROM v GROUP BY parameter""")
+def percentile_interval(spark, sf_dir):
+    return intervals.percentile_intervals(_replicates(spark, sf_dir), 90.0)
+
+
+@query("""WITH e AS (SELECT event_type AS parameter, event_id, value FROM events WHERE value IS NOT NULL),
+m AS (SELECT parameter, avg(value) AS estimate, avg(CASE WHEN event_id % 2 = 1 THEN value END) AS m FROM e GROUP BY parameter)
+SELECT parameter, round(avg(CASE WHEN event_id % 2 = 0 THEN CASE WHEN value < estimate THEN 1e0 ELSE 0e0 END END), 6) AS share_below,
+round(sum(CASE WHEN event_id % 2 = 1 THEN pow(m - value, 3) END) / (6 * pow(sum(CASE WHEN event_id % 2 = 1 THEN pow(m - value, 2) END), 1.5e0)), 6) + 0e0 AS acceleration
+FROM e JOIN m USING (parameter) GROUP BY parameter""")
+def bca_acceleration(spark, sf_dir):
+    r = _replicates(spark, sf_dir)
+    estimates = r.groupBy("parameter").agg(F.avg("value").alias("estimate"))
+    moments = intervals.bca_moments(r.where("rep % 2 = 0"), r.where("rep % 2 = 1"), estimates)
+    return moments.select("parameter", F.round("share_below", 6).alias("share_below"), _r("acceleration").alias("acceleration"))
+
+
+@query("""WITH e AS (SELECT event_type AS parameter, value FROM events WHERE value IS NOT NULL),
+u AS (SELECT parameter, value - avg(value) OVER (PARTITION BY parameter) AS u FROM e)
+SELECT parameter, round(sqrt(sum(u * u)) / count(*), 6) AS std_error, round(sum(pow(u, 3)) / (6 * pow(sum(u * u), 1.5e0)), 6) + 0e0 AS acceleration,
+round(-sum(u * u) / (2 * pow(count(*), 2)), 6) + 0e0 AS bias FROM u GROUP BY parameter""")
+def abc_acceleration_bias(spark, sf_dir):
+    r = _replicates(spark, sf_dir)
+    u = F.col("value") - F.avg("value").over(Window.partitionBy("parameter"))
+    influence = r.select("parameter", u.alias("u")).withColumn("u2", -F.col("u") * F.col("u"))
+    return intervals.abc_moments(influence).select("parameter", F.round("std_error", 6).alias("std_error"), _r("acceleration").alias("acceleration"), _r("bias").alias("bias"))
+
+
+# --- fits --------------------------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS a, count(*) AS n FROM orders GROUP BY 1)
+SELECT 'intercept_' || a AS name, round(ln(n * 1e0 / (SELECT n FROM n WHERE a = 1)), 4) + 0e0 AS value FROM n WHERE a > 1""")
+def asc_only_mle(spark, sf_dir):
+    long = reshape.convert_wide_to_long(priority_table(spark, sf_dir), [], {}, {a: f"av{a}" for a in range(1, 6)}, "obs_id", "choice")
+    model = create_choice_model(long, *KEYS, {"intercept": [2, 3, 4, 5]}, "MNL")
+    fit = model.fit_mle(np.zeros(4), method="newton-cg", just_point=True, gradient_tol=1e-6)
+    return spark.createDataFrame([(n, round(float(v), 4) + 0.0) for n, v in zip(model.param_names, fit.x)], "name string, value double")
+
+
+@query()
+def mnl_fit_summary(spark, sf_dir):
+    model = _model(spark, sf_dir)
+    model.fit_mle(np.zeros(2))
+    return model.summary
+
+
+@query()
+def nested_fit_summary(spark, sf_dir):
+    model = _nested(spark, sf_dir)
+    model.fit_mle(np.concatenate([[1.0, 1.0], np.zeros(2)]), maxiter=60)
+    return model.summary
+
+
+@query()
+def mixed_fit_summary(spark, sf_dir):
+    model = _mixed(panel_table(spark, sf_dir))
+    model.fit_mle(np.array([0.0, 0.0, 0.0, 0.1]), num_draws=20, seed=1, maxiter=40)
+    return model.summary
+
+
+@query()
+def boot_intervals(spark, sf_dir):
+    """Percentile intervals of the multinomial logit over 40 stratified samples."""
+    model = _model(spark, sf_dir)
+    model.fit_mle(np.zeros(2))
+    boot = Boot(model)
+    boot.generate_bootstrap_replicates(40, boot_seed=11)
+    return boot.calc_percentile_interval(90)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -71,6 +71,18 @@ def bca_moments(replicates: DataFrame, jackknife: DataFrame, estimates: DataFram
     )
 
 
+def abc_moments(influence: DataFrame) -> DataFrame:
+    """(parameter, std_error, acceleration, bias) from (parameter, u, u2), a row per observation."""
+    sums = influence.groupBy("parameter").agg(
+        F.sum(F.pow("u", 2)).alias("s2"), F.sum(F.pow("u", 3)).alias("s3"), F.sum("u2").alias("second"), F.count("*").alias("n")
+    )
+    down = 6 * F.pow("s2", 1.5)
+    return sums.select(
+        "parameter", (F.sqrt("s2") / F.col("n")).alias("std_error"),
+        (F.col("s3") / F.when(down == 0, 1e-16).otherwise(down)).alias("acceleration"), (F.col("second") / (2 * F.pow("n", 2))).alias("bias"),
+    )
+
+
 # --- arrays -----------------------------------------------------------------------------
 
 

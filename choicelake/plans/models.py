@@ -499,10 +499,13 @@ class MixedLogit(_NoIntercepts):
         return df.join(means, [self.obs_id_col, self.alt_id_col])
 
     def panel_predict(self, data, num_draws: int, return_long_probs: bool = True, choice_col: str | None = None,
-                      seed: int | None = None, param_list: list | None = None) -> DataFrame:
-        """Units met in the fitted table weigh their draws by the likelihood of their past; new ones equally."""
+                      seed: int | None = None, param_list: list | None = None, draws: DataFrame | None = None) -> DataFrame:
+        """Units met in the fitted table weigh their draws by the likelihood of their past; new ones equally.
+
+        ``draws`` (mixing id, draw_id, eta_0, ...) stands in for seeded ones.
+        """
         df, theta = self._prepared(data, choice_col, return_long_probs), self._parameters(param_list)
-        draws = self.draws_of(df, num_draws, seed)
+        draws = self.draws_of(df, num_draws, seed) if draws is None else draws
         past = self.data.join(df.select(self.mixing_id_col).distinct(), self.mixing_id_col, "left_semi")
         seq = softmax.sequences(self._per_draw(past, draws, theta), self.mixing_id_col, self.choice_col)
         window = Window.partitionBy(self.mixing_id_col)
