@@ -148,7 +148,8 @@ def _overlaps_udf(spark, index: Index):
                 out += [[dict(zip(names, x)) for x in found] for found in held.value.overlaps(texts)]
             yield pd.Series(out, dtype=object)
 
-    return compute
+    # it is deterministic; this keeps an explode's filter from evaluating it a second time
+    return compute.asNondeterministic()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
