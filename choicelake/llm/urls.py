@@ -117,6 +117,11 @@ def ratios(urls: DataFrame, order: int = ORDER) -> DataFrame:
     return model.select(F.col("low").alias("code"), F.ln(F.col("p1") / F.col("p0")).alias("ratio"))
 
 
+def fold(url: Column) -> Column:
+    """The first 32 bits of the URL's MD5, modulo ``FOLDS``."""
+    return F.conv(F.substring(F.md5(F.encode(url, "UTF-8")), 1, 8), 16, 10).cast("long") % FOLDS
+
+
 def judged(pages: DataFrame, rules=RULES, order: int = ORDER, url: str = "url") -> DataFrame:
     """``pages`` with url_host, url_path, url_rule, url_score and url_verdict.
 
@@ -130,7 +135,7 @@ def judged(pages: DataFrame, rules=RULES, order: int = ORDER, url: str = "url")
     distinct = stored(
         pages.select(F.coalesce(F.col(url), F.lit("")).alias("url")).distinct()
         .withColumn("verdict", best_rule(*host_and_path(F.col("url")), rules)["verdict"])
-        .withColumn("fold", F.when(F.col("verdict").isNotNull(), F.crc32(F.encode("url", "UTF-8")) % FOLDS))
+        .withColumn("fold", F.when(F.col("verdict").isNotNull(), fold(F.col("url"))))
     )
     counted = distinct.select("url", F.when(F.col("fold") != 0, F.col("verdict") == "allow").alias("accepted"))
     classes = counted.agg(F.count(F.when(F.col("accepted"), 1)), F.count(F.when(~F.col("accepted"), 1))).first()
@@ -166,3 +171,42 @@ def _threshold(scored: DataFrame) -> float:
         return 0.0
     (m1, s1), (m0, s0) = found["allow"], found["block"]
     return (m1 + m0) / 2 if s1 + s0 == 0 else (m1 * s0 + m0 * s1) / (s1 + s0)
+
+
+def oracle() -> str:
+    """The same verdicts in SQL over ``pages``, for rules that teach both classes."""
+    text = lambda x: "'" + x + "'"
+    order = sorted(range(len(RULES)), key=lambda i: (-len(RULES[i][1] + RULES[i][2]), i))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    rule = "CASE " + " ".join(f"WHEN {fits(*RULES[i][1:])} THEN '{RULES[i][1]}{RULES[i][2]}'" for i in order) + " END"
+    verdict = "CASE rule " + " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in RULES) + " END"
+    lower = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
+    symbol = lambda k: f"CASE WHEN i > {k} THEN instr('{ALPHABET}', substr(low, i - {k}, 1)) ELSE 0 END"
+    code = " + ".join(f"{SYMBOLS**k} * ({symbol(k)})" for k in range(ORDER))
+    parts = [f"""WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages), u AS (SELECT DISTINCT url FROM p),
+rest AS (SELECT url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM u),
+hp AS (SELECT url, coalesce({lower("regexp_extract(rest, '^([^/?#]*)', 1)")}, '') AS host,
+coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
+r AS (SELECT *, {rule} AS rule FROM hp), v AS (SELECT *, {verdict} AS verdict FROM r),
+f AS (SELECT *, CASE WHEN verdict IS NOT NULL THEN CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % {FOLDS} END AS fold, {lower("url")} AS low FROM v),
+g AS (SELECT url, verdict, fold, CASE WHEN fold <> 0 THEN verdict = 'allow' END AS accepted, {code} AS code
+FROM (SELECT *, unnest(range(1, length(low) + 1)) AS i FROM f)),
+c AS (SELECT code, count(CASE WHEN accepted THEN 1 END) AS n1, count(CASE WHEN NOT accepted THEN 1 END) AS n0 FROM g GROUP BY code)"""]
+    before = f"(SELECT 0 AS gram, 1e0 / {SYMBOLS} AS p0, 1e0 / {SYMBOLS} AS p1)"
+    for k in range(1, ORDER + 1):
+        p = ", ".join(f"CASE WHEN t{c} = 0 THEN p{c} ELSE (n{c} + d{c} * p{c}) / (t{c} + d{c}) END AS p{c}" for c in (0, 1))
+        parts.append(f"""l{k} AS (SELECT code % {SYMBOLS**k} AS gram, sum(n0) AS n0, sum(n1) AS n1 FROM c GROUP BY 1),
+x{k} AS (SELECT gram // {SYMBOLS} AS context, sum(n0) AS t0, sum(n1) AS t1, count(CASE WHEN n0 > 0 THEN 1 END) AS d0,
+count(CASE WHEN n1 > 0 THEN 1 END) AS d1 FROM l{k} GROUP BY 1),
+m{k} AS (SELECT l{k}.gram, {p} FROM l{k} JOIN x{k} ON l{k}.gram // {SYMBOLS} = context JOIN {before} AS b ON l{k}.gram % {SYMBOLS ** (k - 1)} = b.gram)""")
+        before = f"m{k}"
+    parts.append(f"""s AS (SELECT url, verdict, avg(ln(p1 / p0)) AS score FROM g JOIN m{ORDER} ON code = gram
+WHERE verdict IS NULL OR fold = 0 GROUP BY url, verdict),
+a AS (SELECT avg(score) AS m1, stddev_pop(score) AS s1 FROM s WHERE verdict = 'allow'),
+b AS (SELECT avg(score) AS m0, stddev_pop(score) AS s0 FROM s WHERE verdict = 'block'),
+h AS (SELECT (m1 * s0 + m0 * s1) / (s0 + s1) AS threshold FROM a, b),
+o AS (SELECT page_id, host, path, rule, v.verdict AS ruled, CASE WHEN rule IS NULL THEN coalesce(s.score, 0e0) END AS score
+FROM p JOIN v USING (url) LEFT JOIN s ON s.url = p.url AND s.verdict IS NULL)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= threshold THEN {text("allow")} ELSE {text("block")} END) AS verdict,
+round(score, 6) AS score FROM o, h""")
+    return ", ".join(parts)
