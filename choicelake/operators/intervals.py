@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -134,7 +135,25 @@ def bca_interval(replicates: np.ndarray, jackknife: np.ndarray, estimate: np.nda
 
 # --- ABC ----------------------------------------------------------------------------------
 
-Refit = Callable[[np.ndarray], np.ndarray]  # (refits x observations) weights -> (refits x parameters)
+@dataclass(frozen=True)
+class Weights:
+    """A weight per observation: ``scale`` for all, and ``delta`` more at ``index``."""
+
+    scale: float
+    index: np.ndarray
+    delta: np.ndarray
+
+    def dense(self, n: int) -> np.ndarray:
+        out = np.full(n, float(self.scale))
+        out[self.index] += self.delta
+        return out
+
+
+def dense_weights(values: np.ndarray) -> Weights:
+    return Weights(0.0, np.arange(len(values)), np.asarray(values, float))
+
+
+Refit = Callable[[list[Weights]], np.ndarray]  # -> refits x parameters
 
 
 def empirical_influence(plus: np.ndarray, minus: np.ndarray, epsilon: float) -> np.ndarray:
@@ -168,35 +187,38 @@ def abc_bias_correction(acceleration: float, curvature: float) -> float:
 
 
 def quadratic_coefficient(refit: Refit, estimate, influence, std_error, epsilon, textbook: bool = False) -> np.ndarray:
-    """Curvature along each parameter's own influence, from two refits a parameter."""
+    """Curvature along each parameter's own influence, from two refits a parameter.
+
+    The textbook form moves along the influence in the standard error's units over n squared and takes the plain
+    second difference; the usual one also divides by twice the standard error.
+    """
     n, k = influence.shape
     direction = influence / (n**2 * std_error)
     base = np.full(n, 1.0 / n)
-    if textbook:
-        direction = direction - direction.mean(0)
-    up = np.stack([base + epsilon * direction[:, j] for j in range(k)])
-    down = np.stack([base - epsilon * direction[:, j] for j in range(k)])
-    t_up, t_down = np.diag(refit(up)), np.diag(refit(down))
-    return (t_up - 2 * estimate + t_down) / (2 * std_error * epsilon**2)
+    shrink = (1 - epsilon) * base if textbook else base
+    up, down = ([dense_weights(shrink + sign * epsilon * direction[:, j]) for j in range(k)] for sign in (1, -1))
+    top = np.diag(refit(up)) - 2 * estimate + np.diag(refit(down))
+    return np.where(np.isclose(top, 0.0, rtol=0, atol=1e-10), 0.0, top / (epsilon**2 if textbook else 2 * std_error * epsilon**2))
 
 
-def abc_endpoint(refit: Refit, share: float, z0: np.ndarray, acceleration, std_error, influence) -> np.ndarray:
-    """Refits at weights moved along the influence as far as the corrected quantile asks."""
+def abc_endpoint(refit: Refit, share: float, z0: np.ndarray, acceleration, std_error, influence, textbook: bool = False) -> np.ndarray:
+    """Refits at weights moved along the influence as far as the corrected quantile asks.
+
+    The textbook form leaves out the division by n squared.
+    """
     n, k = influence.shape
     weights = []
     for j in range(k):
         z = z0[j] + normal.inverse_cdf(share)
-        step = z / (1 - acceleration[j] * z) ** 2
-        weights.append(1.0 / n + step * influence[:, j] / (n**2 * std_error[j]))
-    return np.diag(refit(np.stack(weights)))
+        step = z / (1 - acceleration[j] * z) ** 2 / std_error[j]
+        weights.append(dense_weights(1.0 / n + step * influence[:, j] / (1 if textbook else n**2)))
+    return np.diag(refit(weights))
 
 
 def abc_interval(refit: Refit, estimate: np.ndarray, n: int, confidence: float, epsilon: float = 0.001) -> np.ndarray:
     """2 x parameters, from 2 n + 4 k refits under observation weights that add up to 1."""
     validate.confidence(confidence)
-    base, eye = np.full((n, n), 1.0 / n), np.eye(n)
-    plus = refit((1 - epsilon) * base + epsilon * eye)
-    minus = refit((1 + epsilon) * base - epsilon * eye)
+    plus, minus = (refit([Weights((1 - e) / n, np.array([i]), np.array([e])) for i in range(n)]) for e in (epsilon, -epsilon))
     influence = empirical_influence(plus, minus, epsilon)
     second = second_influence(estimate, plus, minus, epsilon)
     std_error, acceleration, bias = abc_std_error(influence), abc_acceleration(influence), abc_bias(second)

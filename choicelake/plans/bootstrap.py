@@ -37,11 +37,6 @@ def default_starting_values(model: ChoiceModel, mnl_point: Mapping[str, float])
     return theta
 
 
-def weighted(block: Block, per_obs: np.ndarray) -> Block:
-    """The block with its row weights times a weight per observation."""
-    return replace(block, w=block.w * per_obs[block.obs])
-
-
 class Boot:
     """Replicates and intervals of a model about its estimates."""
 
@@ -70,41 +65,54 @@ class Boot:
                 self._block = _ordered(m)
         return self._block
 
-    def refits(self, weights: np.ndarray | Callable[[int], np.ndarray], n: int, init_vals=None, block_options: dict | None = None, **fit_kwargs) -> np.ndarray:
-        """(n x parameters) estimates under each weight vector over the sorted observations."""
+    def refits(self, weights: list[intervals.Weights], init_vals=None, block_options: dict | None = None, **fit_kwargs) -> np.ndarray:
+        """(refits x parameters) estimates under each set of weights over the sorted observations.
+
+        ``init_vals``: one vector for all or a row for each.
+        """
         prepared = self._prepared(block_options or {})
-        start = self.estimate if init_vals is None else np.asarray(init_vals, float)
-        make = weights if callable(weights) else weights.__getitem__
+        starts = np.broadcast_to(self.estimate if init_vals is None else np.asarray(init_vals, float), (len(weights), len(self.estimate)))
         if prepared is None:
-            return self._refits_in_turn(make, n, start, block_options or {}, fit_kwargs)
+            return self._refits_in_turn(weights, starts, block_options or {}, fit_kwargs)
         spark = self.model.data.sparkSession
-        held = spark.sparkContext.broadcast((prepared[0], self.model.family(), start, self.model.constraints(fit_kwargs.pop("constrained_pos", None))))
+        constrained = self.model.constraints(fit_kwargs.pop("constrained_pos", None))
+        held = spark.sparkContext.broadcast((prepared[0], self.model.family(), constrained))
         options = _fit_options(fit_kwargs)
-        tasks = min(n, max(1, spark.sparkContext.defaultParallelism * 2))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            block, family, begin, constrained = held.value
+            block, family, fixed = held.value
+            key = block.obs if block.mix is None else block.mix
+            n = int(key[-1]) + 1
             for batch in batches:
                 rows = []
-                for rep, raw in zip(batch["rep"], batch["w"]):
-                    own = _reweighted(block, np.frombuffer(raw))
-                    fit = fit_theta(lambda t, s: family.evaluate(t, own, s), family, begin, constrained, *options)  # noqa: B023
+                for rep, scale, index, delta, start in batch.itertuples(index=False):
+                    w = intervals.Weights(scale, np.frombuffer(index, np.int64), np.frombuffer(delta)).dense(n)
+                    own = replace(block, w=block.w * w[key])
+                    fit = fit_theta(lambda t, s: family.evaluate(t, own, s), family, np.frombuffer(start), fixed, *options)  # noqa: B023
                     rows.append((rep, fit.x.tobytes()))
                 yield pd.DataFrame(rows, columns=["rep", "theta"])
 
-        rows = pd.DataFrame({"rep": range(n), "w": [np.asarray(make(i), float).tobytes() for i in range(n)]})
-        found = spark.createDataFrame(rows, "rep int, w binary").repartition(tasks).mapInPandas(run, "rep int, theta binary").collect()
+        rows = pd.DataFrame({
+            "rep": range(len(weights)), "scale": [float(w.scale) for w in weights],
+            "index": [np.asarray(w.index, np.int64).tobytes() for w in weights], "delta": [np.asarray(w.delta, float).tobytes() for w in weights],
+            "start": [s.tobytes() for s in starts],
+        })
+        tasks = min(len(weights), max(1, spark.sparkContext.defaultParallelism * 2))
+        found = (
+            spark.createDataFrame(rows, "rep int, scale double, index binary, delta binary, start binary")
+            .repartition(tasks).mapInPandas(run, "rep int, theta binary").collect()
+        )
         held.unpersist()
         return np.stack([np.frombuffer(t) for _, t in sorted((r["rep"], bytes(r["theta"])) for r in found)])
 
-    def _refits_in_turn(self, make, n, start, block_options, fit_kwargs) -> np.ndarray:
+    def _refits_in_turn(self, weights, starts, block_options, fit_kwargs) -> np.ndarray:
         """For tables too large to ship: weights join as a column, and each fit is distributed."""
         m, spark = self.model, self.model.data.sparkSession
         ids = [r[0] for r in m.data.select(m.obs_id_col).distinct().orderBy(m.obs_id_col).collect()]
         out, data = [], m.data
         try:
-            for i in range(n):
-                w = spark.createDataFrame(pd.DataFrame({m.obs_id_col: ids, "__w": np.asarray(make(i), float)}))
+            for own, start in zip(weights, starts):
+                w = spark.createDataFrame(pd.DataFrame({m.obs_id_col: ids, "__w": own.dense(len(ids))}))
                 m.data = data.join(w, m.obs_id_col)
                 out.append(m.fit_mle(start, weights="__w", just_point=True, **block_options, **fit_kwargs).x)
         finally:
@@ -124,31 +132,29 @@ class Boot:
         strata, ids = self._strata()
         drawn = sampling.draw_samples(strata, num_samples, boot_seed)
         place = {o: i for i, o in enumerate(ids)}
-        counts = np.zeros((num_samples, len(ids)))
-        for rep, sample in enumerate(drawn):
-            np.add.at(counts[rep], [place[o] for o in sample.tolist()], 1.0)
-        self.bootstrap_replicates = self._with_starts(counts, mnl_obj, mnl_init_vals, extract_init_vals, block_options, fit_kwargs)
+        samples = []
+        for sample in drawn:
+            at, times = np.unique([place[o] for o in sample.tolist()], return_counts=True)
+            samples.append(intervals.Weights(0.0, at, times.astype(float)))
+        self.bootstrap_replicates = self._with_starts(samples, mnl_obj, mnl_init_vals, extract_init_vals, block_options, fit_kwargs)
         return self.frame("bootstrap")
 
     def generate_jackknife_replicates(self, mnl_obj: ChoiceModel | None = None, mnl_init_vals=None, extract_init_vals: Callable | None = None,
                                       block_options: dict | None = None, **fit_kwargs) -> DataFrame:
         """Refits that leave out one observation each, in the ids' order."""
         n = len(self._strata()[1])
-        weights = np.ones((n, n)) - np.eye(n)
+        weights = [intervals.Weights(1.0, np.array([i]), np.array([-1.0])) for i in range(n)]
         self.jackknife_replicates = self._with_starts(weights, mnl_obj, mnl_init_vals, extract_init_vals, block_options, fit_kwargs)
         return self.frame("jackknife")
 
     def _with_starts(self, weights, mnl_obj, mnl_init_vals, extract, block_options, fit_kwargs) -> np.ndarray:
         if mnl_obj is None:
-            return self.refits(weights, len(weights), None, block_options, **fit_kwargs)
+            return self.refits(weights, None, block_options, **fit_kwargs)
         first = np.zeros(mnl_obj.layout.size) if mnl_init_vals is None else np.asarray(mnl_init_vals, float)
-        points = Boot(mnl_obj, first, self.local_bytes).refits(weights, len(weights), first)
+        points = Boot(mnl_obj, first, self.local_bytes).refits(weights, first)
         rule = extract or default_starting_values
-        out = [
-            self.refits(weights[i : i + 1], 1, rule(self.model, dict(zip(mnl_obj.param_names, p))), block_options, **fit_kwargs)[0]
-            for i, p in enumerate(points)
-        ]
-        return np.stack(out)
+        starts = np.stack([rule(self.model, dict(zip(mnl_obj.param_names, p))) for p in points])
+        return self.refits(weights, starts, block_options, **fit_kwargs)
 
     def _strata(self) -> tuple[dict, list]:
         m = self.model
@@ -212,8 +218,8 @@ class Boot:
         n = len(self._strata()[1])
         fit_kwargs = {"gradient_tol": 1e-10, "method": "newton-cg"} | fit_kwargs
         # weights that add up to 1 make a likelihood of mean size, whose estimates are the same
-        refit = lambda w: self.refits(w, len(w), init_vals, block_options, **fit_kwargs)
-        estimate = refit(np.full((1, n), 1.0 / n))[0]
+        refit = lambda w: self.refits(w, init_vals, block_options, **fit_kwargs)
+        estimate = refit([intervals.dense_weights(np.full(n, 1.0 / n))])[0]
         return self._interval(intervals.abc_interval(refit, estimate, n, conf_percentage, epsilon), conf_percentage, "ABC_interval")
 
     def calc_conf_intervals(self, conf_percentage: float, interval_type: str = "all", init_vals=None, epsilon: float = 0.001, **fit_kwargs) -> DataFrame:
@@ -237,13 +243,6 @@ def _fit_options(kwargs: dict) -> tuple:
     return tuple((defaults | kwargs).values())
 
 
-def _reweighted(block: Block, per_group: np.ndarray) -> Block:
-    key = block.obs if block.mix is None else block.mix
-    if len(per_group) != int(key[-1]) + 1:
-        raise ValueError("a weight per observation (or mixing unit) is needed")
-    return replace(block, w=block.w * per_group[key])
-
-
 def _ordered(model: ChoiceModel) -> tuple[Block, np.ndarray]:
     """The table as one block, observations in the order of their ids, and those ids."""
     rows = model.data.select(F.col(f"`{model.obs_id_col}`").alias("o"), F.col(f"`{model.alt_id_col}`").alias("a"),

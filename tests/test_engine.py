@@ -208,7 +208,8 @@ def test_spatial_intervals():
     np.testing.assert_allclose(intervals.bca_interval(replicates, jackknife, np.array([theta]), 90).ravel(), [115.8, 259.6], rtol=0.01)
     assert intervals.bca_acceleration(jackknife)[0] == pytest.approx(0.061, abs=5e-4)
 
-    def refit(weights):
+    def refit(many):
+        weights = np.stack([w.dense(n) for w in many])
         mean = weights @ SPATIAL
         return (weights * (SPATIAL - mean[:, None]) ** 2).sum(1)[:, None]
 
@@ -229,6 +230,9 @@ def test_bootstrap_end_to_end(spark):
     fit = model.fit_mle(np.zeros(1))
     boot = Boot(model)
     assert boot.generate_bootstrap_replicates(12, boot_seed=7).count() == 12
+    by_index = boot.bootstrap_replicates
+    boot.generate_bootstrap_replicates(12, mnl_obj=model, boot_seed=7)
+    np.testing.assert_allclose(boot.bootstrap_replicates, by_index, atol=1e-3)
     assert boot.generate_jackknife_replicates().count() == 6
     assert len(boot.calc_log_likes_for_replicates()) == 12
     assert (boot.calc_log_likes_for_replicates() <= fit.log_likelihood + 1e-9).all()
@@ -239,7 +243,7 @@ def test_bootstrap_end_to_end(spark):
     first = boot.calc_abc_interval(80).first()
     assert first[2] < fit.params[0] < first[3]
     far = Boot(model, local_bytes=0)
-    np.testing.assert_allclose(far.refits(np.ones((1, 6)), 1)[0], fit.params, atol=1e-4)
+    np.testing.assert_allclose(far.refits([intervals.dense_weights(np.ones(6))])[0], fit.params, atol=1e-4)
 
 
 def test_normal_law():
