@@ -49,8 +49,8 @@ def doc_crc(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
-def hash_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """About ``bound`` rows at most, chosen by a hash of ``key``; all rows if fewer.
+def hash_sample(df: DataFrame, keys: list[str], bound: int) -> DataFrame:
+    """About ``bound`` rows at most, chosen by a hash of ``keys``; all rows if fewer.
 
     The choice depends on the keys and the row count alone, so a recomputed
     task picks the same rows.
@@ -59,7 +59,7 @@ def hash_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     if n <= bound:
         return df
     share = int(2**30 * (bound / n))
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(2**30)) < share)
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(2**30)) < share)
 
 
 def _nonself(edges: DataFrame) -> DataFrame:
@@ -74,20 +74,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component = least node reached.
 
     Alternates large-star and small-star rounds.  Stars are made by a minimum per
-    node and a join back on it, never by gathering a node's neighbours, so a hub
-    with a third of all links is an ordinary skewed join.  Each round is cut by
-    a reliable checkpoint; nothing but two totals reaches the driver.
+    node and a join back on it, never by gathering a node's neighbours.  The minima are
+    cut first, so that both sides of the join are shuffles of their own and a hub with a
+    third of all links is split as a skewed partition.  Each round is cut by a reliable
+    checkpoint; nothing but two totals reaches the driver.
     """
     edges = cut(_nonself(edges))
     before = None
     for _ in range(MAX_COMPONENT_ROUNDS):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         edges = cut(_nonself(
             both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionAll(least.select("a", F.col("m").alias("b")))
         ))
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(edges.groupBy("a").agg(F.min("b").alias("m")))
         edges = cut(_nonself(
             edges.join(least, "a").select("b", "m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionAll(least.select("a", F.col("m").alias("b")))

@@ -19,7 +19,7 @@ from choicelake.llm import kernel as K
 from choicelake.llm.common import doc_crc, hash_sample, stored
 
 UNDETERMINED = "und"
-#: Rows to learn from, at most about; chosen by a hash of doc_id.
+#: Rows to learn from, at most about; chosen by a hash of id and text.
 TRAIN_ROWS = 16_384
 #: Words of the lexicon, the most frequent first, each seen at least twice.
 LEXICON = 65_536
@@ -132,7 +132,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, lexicon: int = LEXICON) ->
     Null texts and languages are left out.  The model's size is bound by ``lexicon``,
     ``SLOTS`` and the number of languages; only that reaches the driver.
     """
-    sample = hash_sample(labelled.where("lang is not null").select("doc_id", "text", "lang"), "doc_id", rows)
+    sample = hash_sample(labelled.where("lang is not null").select("doc_id", "text", "lang"), ["doc_id", "text"], rows)
     counts = stored(_counted(sample.where("text is not null")))
     frequent = (
         counts.where("kind = 0").groupBy("key").agg(F.sum("n").alias("all"))

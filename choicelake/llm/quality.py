@@ -191,7 +191,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", ro
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (doc_crc() % 5 != 0))
         .groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     )
-    return docs.select("doc_id", "text").join(F.broadcast(hash_sample(chosen, "doc_id", rows)), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(hash_sample(chosen, ["doc_id"], rows)), "doc_id")
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -264,7 +264,8 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8)
     probes = index.select("node", F.explode(_long_array(_masks(1))).alias("mask"), "key").select(
         "node", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), (F.col("mask") != 0).alias("off")
     )
-    keys = index.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n"))
+    # stored, so that the join below shuffles both sides and can split a hot key
+    keys = stored(index.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")))
     # under a key: its entries, and the queries that reach it; keys with a single print meet nothing
     met = stored(probes.join(keys, "key").where("n > 1 or node != leader"))
     by_node = lambda name, fp: prints.select(F.col("node").alias(name), F.col("fp").alias(fp))
