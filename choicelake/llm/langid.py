@@ -138,26 +138,28 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, lexicon: int = LEXICON) ->
         counts.where("kind = 0").groupBy("key").agg(F.sum("n").alias("all"))
         .where("`all` >= 2").orderBy(F.desc("all"), "key").limit(lexicon)
     )
+    totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()
+    languages = sorted({r["lang"] for r in totals})
+    total = {(languages.index(r["lang"]), r["kind"]): r["n"] for r in totals}
+    # numbers for names, as there may be millions of rows
+    number = (F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1).cast("int") if languages else F.lit(0)
+    counts = counts.withColumn("lang", number)
     of_words = counts.where("kind = 0").join(F.broadcast(frequent), "key").select("lang", "key", "n").toPandas()
     of_grams = counts.where("kind > 0").toPandas()
-    totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(totals["lang"].unique())
-    index = {lang: j for j, lang in enumerate(languages)}
-    total = {(r.lang, r.kind): r.n for r in totals.itertuples()}
 
-    def logs(found: np.ndarray, lang: str, kind: int) -> np.ndarray:
+    def logs(found: np.ndarray, lang: int, kind: int) -> np.ndarray:
         return np.maximum(np.log10(found / total[lang, kind]), PENALTY)
 
     keys = np.unique(of_words["key"].to_numpy(np.int64).view(np.uint64))
     word_scores = np.full((len(keys), len(languages)), PENALTY)
     for lang, group in of_words.groupby("lang"):
         at = np.searchsorted(keys, group["key"].to_numpy(np.int64).view(np.uint64))
-        word_scores[at, index[lang]] = logs(group["n"].to_numpy(float), lang, 0)
+        word_scores[at, lang] = logs(group["n"].to_numpy(float), lang, 0)
     gram_scores = {o: np.full((SLOTS, len(languages)), PENALTY, np.float32) for o in ORDERS}
     gram_known = {o: np.zeros(SLOTS, bool) for o in ORDERS}
     for (lang, order), group in of_grams.groupby(["lang", "kind"]):
         at = group["key"].to_numpy(np.int64)
-        gram_scores[order][at, index[lang]] = logs(group["n"].to_numpy(float), lang, order)
+        gram_scores[order][at, lang] = logs(group["n"].to_numpy(float), lang, order)
         gram_known[order][at] = True
     return Model(languages, keys, word_scores, gram_scores, gram_known)
 

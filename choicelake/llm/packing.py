@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choicelake.llm.common import stored
-from choicelake.llm.tokens import WORDS, byte_letters, vocabulary
+from choicelake.llm.tokens import WORDS, Vocabulary, byte_letters
 
 END = 2
 #: Lengths are dealt out in so many lanes each, so that no length is one task's work.
@@ -198,7 +198,7 @@ def encoder(path: str):
     """
     import tiktoken
 
-    vocab = vocabulary(path)
+    vocab = Vocabulary(path)  # not the remembered one: only the encoder is kept
     byte = {letter: b for b, letter in enumerate(byte_letters())}
     plain = {bytes(byte[c] for c in word): i for word, i in vocab.ids.items() if word not in vocab.specials}
     order = [whole for _, whole in sorted(vocab.ranks.values())]

@@ -68,18 +68,45 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return pairs // BUCKETS, pairs % BUCKETS
 
 
-def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+class Rows:
+    """Bucket numbers of many texts in one array; the i-th row is a slice of it."""
+
+    def __init__(self, buckets: np.ndarray, bounds: np.ndarray):
+        self.buckets, self.bounds = buckets, bounds
+
+    def __len__(self) -> int:
+        return len(self.bounds)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.buckets[self.bounds[i, 0] : self.bounds[i, 1]]
+
+    def part(self, which: np.ndarray) -> Rows:
+        return Rows(self.buckets, self.bounds[which])
+
+
+class Scaled:
+    """The rows' log-count ratios at unit length, made as they are asked for."""
+
+    def __init__(self, rows: Rows, ratios: np.ndarray):
+        self.rows, self.ratios = rows, ratios
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        value = self.ratios[self.rows[i]]
+        return value / max(np.sqrt(value @ value), 1e-9)
+
+
+def log_count_ratios(rows, labels: np.ndarray) -> np.ndarray:
     """Log of the classes' smoothed and normalised indicator counts."""
     counts = np.full((2, BUCKETS), ALPHA)
-    for row, label in zip(rows, labels):
-        counts[int(label > 0), row] += 1
+    for i, label in enumerate(labels):
+        counts[int(label > 0), rows[i]] += 1
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
 def dual_coordinate_descent(rows, values, labels, costs, epochs: int = EPOCHS) -> np.ndarray:
     """Weights of the L2-regularised hinge loss; the last one is the bias."""
     w, alpha = np.zeros(BUCKETS + 1), np.zeros(len(rows))
-    norms = np.array([v @ v + 1.0 for v in values])
+    norms = np.array([values[i] @ values[i] + 1.0 for i in range(len(rows))])
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
@@ -150,10 +177,11 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                     "row": [bucket[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:])],
                 })
 
-    found = labelled.select("doc_id", "text", "label").mapInPandas(encode, "doc_id long, label int, row binary").toPandas()
-    found = found.sort_values(["doc_id", "label"], ignore_index=True)
-    sparse = [np.frombuffer(x, "<i4") for x in found["row"]]
-    labels = np.where(found["label"].to_numpy() > 0, 1, -1)
+    # as Arrow, whose one buffer of buckets is used in place
+    found = labelled.select("doc_id", "text", "label").mapInPandas(encode, "doc_id long, label int, row binary").toArrow().combine_chunks()
+    ids, label = (found[c].to_numpy() for c in ("doc_id", "label"))
+    order = np.lexsort((label, ids))
+    sparse, labels = _rows(found["row"]).part(order), np.where(label[order] > 0, 1, -1)
     if not len(labels) or abs(labels.sum()) == len(labels):
         sure = 20.0 if len(labels) and labels[0] > 0 else -20.0 if len(labels) else 0.0
         return Model(np.zeros(BUCKETS), np.ones(BUCKETS), 0.0, 1.0, sure)
@@ -161,25 +189,37 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if abs(labels[~held].sum()) == (~held).sum() or abs(labels[held].sum()) == held.sum():
         held[:] = False
     seen = np.flatnonzero(~held)
-    ratios = log_count_ratios([sparse[i] for i in seen], labels[seen])
-    scaled = []
-    for row in sparse:
-        value = ratios[row]
-        scaled.append(value / max(np.sqrt(value @ value), 1e-9))
+    rows = sparse.part(seen)
+    ratios = log_count_ratios(rows, labels[seen])
     share = (labels[seen] > 0).mean()
     costs = np.where(labels[seen] > 0, COST * 0.5 / share, COST * 0.5 / (1 - share))
-    w = dual_coordinate_descent([sparse[i] for i in seen], [scaled[i] for i in seen], labels[seen], costs)
+    w = dual_coordinate_descent(rows, Scaled(rows, ratios), labels[seen], costs)
     used = np.zeros(BUCKETS, bool)
-    for i in seen:
-        used[sparse[i]] = True
+    for i in range(len(rows)):
+        used[rows[i]] = True
     weights = np.where(used, (1 - BETA) * np.abs(w[:-1][used]).mean() + BETA * w[:-1], 0.0)
     model = Model(weights, ratios, float(w[-1]), 1.0, 0.0)
     check = np.flatnonzero(held) if held.any() else seen
+    scaled = Scaled(sparse, ratios)
     margins = np.array([scaled[i] @ weights[sparse[i]] + model.bias for i in check])
     model.slope, model.shift = calibrate(margins, labels[check])
     return model
 
 
+def _rows(column) -> Rows:
+    """A binary Arrow column as rows, without a copy."""
+    parts, bounds, at = [], [], 0
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        cuts = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] // 4
+        parts.append(np.frombuffer(data, "<i4") if data is not None else np.zeros(0, "<i4"))
+        bounds.append(np.stack([cuts[:-1], cuts[1:]], axis=1).astype(np.int64) + at)
+        at += len(parts[-1])
+    if not parts:
+        return Rows(np.zeros(0, "<i4"), np.zeros((0, 2), np.int64))
+    return Rows(parts[0] if len(parts) == 1 else np.concatenate(parts), np.concatenate(bounds))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, text, label) of the fold to learn from.
 
