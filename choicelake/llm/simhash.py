@@ -88,6 +88,17 @@ def _keyed(number: int, segment: Column) -> Column:
     return segment + F.lit(number << SEGMENT)
 
 
+def _probes(index: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, key and every ``mask`` to probe with: none, and each bit that is set in the key's segment.
+
+    Of two values that differ in one bit one has it set, and finds the other by clearing it; so half of
+    the ball of radius 1 meets all its pairs.
+    """
+    return index.select(
+        *keep, "key", F.explode(F.filter(_long_array(_masks(1)), lambda m: F.col("key").bitwiseAND(m) == m)).alias("mask")
+    )
+
+
 def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` within ``distance`` (3 at most) bits.
 
@@ -97,11 +108,8 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     """
     if distance > 3:
         raise ValueError("two segments with radius 1 meet pairs within 3 bits")
-    ball = _long_array(_masks(1))
     index = prints.select("fp", F.explode(F.array(*(_keyed(n, _segment(F.col("fp"), n)) for n in (0, 1)))).alias("key"))
-    probes = prints.select("fp", F.explode(ball).alias("mask")).select(
-        "fp", F.explode(F.array(*(_keyed(n, _segment(F.col("fp"), n).bitwiseXOR(F.col("mask"))) for n in (0, 1)))).alias("key")
-    )
+    probes = _probes(index, "fp").select("fp", F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
     hot = cut(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
     any_hot = not hot.isEmpty()
     plain = index.join(hot, "key", "left_anti") if any_hot else index
@@ -169,13 +177,12 @@ WIDE = 256
 WIDE_DISTANCE = 48
 
 
-def _word_signs(word: bytes, known: dict) -> np.ndarray:
+def _word_bits(word: bytes, known: dict) -> bytes:
     found = known.get(word)
     if found is None:
         if len(known) >= 1 << 17:
             known.clear()
-        raw = xxhash.xxh3_128_digest(word, 1) + xxhash.xxh3_128_digest(word, 2)
-        known[word] = found = np.unpackbits(np.frombuffer(raw, np.uint8))
+        known[word] = found = xxhash.xxh3_128_digest(word, 1) + xxhash.xxh3_128_digest(word, 2)
     return found
 
 
@@ -187,8 +194,9 @@ def wide_fingerprint(words: list[bytes], known: dict) -> np.ndarray:
         weights[:] = 1
     total = np.zeros(WIDE, np.float32)
     for i in range(0, len(distinct), 4096):
-        signs = np.array([_word_signs(w, known) for w in distinct[i : i + 4096]], np.float32)
-        total += weights[i : i + 4096] @ signs
+        part = distinct[i : i + 4096]
+        raw = np.frombuffer(b"".join([_word_bits(w, known) for w in part]), np.uint8).reshape(len(part), -1)
+        total += weights[i : i + 4096] @ np.unpackbits(raw, axis=1).astype(np.float32)
     return np.packbits(total * 2 > weights.sum()).view(">u8").astype(np.uint64)
 
 
@@ -228,13 +236,21 @@ def _distance(a: str, b: str) -> Column:
     return total
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Of (a, b) those whose shingle sets have at least that Jaccard similarity."""
-    pairs = cut(pairs)
+def _sets_of(pairs: DataFrame, docs: DataFrame, texts: DataFrame, k: int, known: DataFrame | None = None) -> DataFrame:
+    """(node, shingles) of all nodes in ``pairs``: those ``known``, and others from their texts."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if known is not None:
+        wanted = cut(wanted.join(known, "node", "left_anti"))
+        if wanted.isEmpty():
+            return known
     rows = texts.join(wanted, "node", "left_semi")
     full = docs.select(F.xxhash64("text").alias("exact"), "text").join(rows, "exact").dropDuplicates(["node"])
-    sets = stored(_shingle_sets(full, k))
+    made = stored(_shingle_sets(full, k))
+    return made if known is None else known.unionAll(made)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of (a, b) those whose shingle sets have at least that Jaccard similarity."""
     both = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -261,7 +277,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8)
     texts = prints.select("node", "exact")
     segments = [_keyed(n, _segment(F.col("fp")[n // 2], n % 2)) for n in range(WIDE // SEGMENT)]
     index = prints.select("node", F.explode(F.array(*segments)).alias("key"))
-    probes = index.select("node", F.explode(_long_array(_masks(1))).alias("mask"), "key").select(
+    probes = _probes(index, "node").select(
         "node", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), (F.col("mask") != 0).alias("off")
     )
     # stored, so that the join below shuffles both sides and can split a hot key
@@ -274,7 +290,9 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8)
         .join(by_node("a", "fa"), "a").join(by_node("b", "fb"), "b")
         .where(_distance("fa", "fb") <= WIDE_DISTANCE).select("a", "b")
     )
-    edges = _verified(first, docs, texts, k, similarity)
+    first = cut(first)
+    sets = _sets_of(first, docs, texts, k)
+    edges = _verified(first, sets, similarity)
     parts = cut(connected_components(edges))
 
     several = met.where("n > 1").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
@@ -290,7 +308,8 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8)
         .where((F.col("q.part") != F.col("t.part")) & (_distance("q.fp", "t.fp") <= WIDE_DISTANCE))
         .select(F.greatest("q.node", "t.node").alias("a"), F.least("q.node", "t.node").alias("b")).distinct()
     )
-    edges = edges.unionAll(_verified(rest, docs, texts, k, similarity))
+    rest = cut(rest)
+    edges = edges.unionAll(_verified(rest, _sets_of(rest, docs, texts, k, sets), similarity))
     parts = connected_components(edges)
     groups = cut(texts.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("group")))
     return described.select("doc_id", "exact", "node").join(groups, "node").select("doc_id", "exact", "group")
