@@ -8,6 +8,8 @@ identifiers to weak hints; within a tier longer detections come first, then earl
 
 from __future__ import annotations
 
+import re
+
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: Confidence of a detection by tier.
@@ -303,12 +305,29 @@ def expanded(pattern: str) -> str:
     return f"(?<!{WORD})(?:{pattern.replace('(?: ', '(?:␣').replace(' ', SEPARATOR + '{1,12}').replace('␣', SEPARATOR + '{1,12}')})(?!{WORD})"
 
 
+#: Words in too many rules to tell them apart.
+_COMMON = {"licen", "license", "spdx", "identifier", "the", "under", "version", "org", "licenses", "public", "software", "open"}
+
+
+def required(pattern: str) -> str:
+    """The longest telling literal that every match contains; empty if there is none."""
+    group = re.compile(r"\((?:\?:)?[^()]*\)[?*+]?")
+    while group.search(pattern):
+        pattern = group.sub(" ", pattern)
+    for optional in (r"\[[^\]]*\][?*+]?(?:\{[^}]*\})?", r"\\.[?*+]?", r"[^ ][?*]"):
+        pattern = re.sub(optional, " ", pattern)
+    return max((w for w in re.findall(r"[a-z0-9]{3,}", pattern) if w not in _COMMON), key=len, default="")
+
+
 def rules() -> list[dict]:
-    """id, label, tier, keyword and regex of every rule, in order."""
+    """id, label, tier, keyword, also and regex of every rule, in order.
+
+    A rule is tried where both its keyword and ``also`` occur; the second follows from the pattern.
+    """
     out = []
     for tier, block in _TIERS.items():
         for line in block.strip().splitlines():
             label, keyword, pattern = (x.strip(" ") for x in line.split(" | ", 2))
             pattern = pattern.rstrip(" ")
-            out.append({"id": len(out), "label": label, "tier": tier, "keyword": keyword, "regex": expanded(pattern)})
+            out.append({"id": len(out), "label": label, "tier": tier, "keyword": keyword, "also": required(pattern), "regex": expanded(pattern)})
     return out

@@ -20,7 +20,7 @@ WORDS = f"{WORD}+"
 #: A noncharacter that marks the ends of a match; turned into a blank in the text first.
 _MARK = "﷐"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_RULE = "array<struct<id:int,label:string,tier:int,keyword:string,regex:string>>"
+_RULE = "array<struct<id:int,label:string,tier:int,keyword:string,also:string,regex:string>>"
 _FOUND = "array<struct<id:int,label:string,tier:int,start:int,`end`:int>>"
 
 
@@ -83,7 +83,7 @@ def detections(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with _low, _all (every detection) and license_spans (those that are not suppressed)."""
     docs = docs.withColumn("_low", lowered(F.col(text)))
     low = F.col("_low")
-    tried = F.filter(_rule_table(), lambda r: low.contains(r["keyword"]))
+    tried = F.filter(_rule_table(), lambda r: low.contains(r["keyword"]) & low.contains(r["also"]))
     every = F.flatten(F.transform(tried, lambda r: _matches(low, r)))
     docs = docs.withColumn("_all", F.when(_gate(low), every).otherwise(F.expr(f"cast(array() as {_FOUND})")))
     size = lambda x: x["end"] - x["start"]
