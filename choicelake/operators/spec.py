@@ -113,9 +113,9 @@ def check_names(names: Mapping, specification: Mapping, n_alternatives: int) ->
 
 def with_intercept(df: DataFrame, specification: Mapping) -> DataFrame:
     """Adds ``intercept`` = 1.0 if the specification asks for it and there is none."""
-    if "intercept" in specification and "intercept" not in df.columns:
-        return df.withColumn("intercept", F.lit(1.0))
-    return df
+    name = "intercept"
+    wanted = name in specification and name not in df.columns
+    return df.withColumn(name, F.lit(1.0)) if wanted else df
 
 
 def positions(wanted: Iterable[str], names: list[str]) -> list[int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import time
 import warnings
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,6 +20,9 @@ from choicelake.plans.optimize import Outcome, minimise
 from choicelake.sources.tables import read_card, read_table, write_card
 
 
+Vector = Sequence[float] | np.ndarray | None
+
+
 @dataclass
 class FitResult:
     """Everything a fit gives, in the order of the parameter vector."""
@@ -96,6 +99,9 @@ class FitResult:
         ]
 
 
+_KEYS = ("alt_id_col", "obs_id_col", "choice_col")
+
+
 class ChoiceModel:
     """Base of the seven models.  The table is not changed; ``fit_mle`` keeps what it found in ``result``."""
 
@@ -159,7 +165,9 @@ class ChoiceModel:
     def blocks(self, weights: str | Column | None = None, **more) -> Blocks:
         return Blocks(self.data, self.design, self.obs_id_col, self.alt_id_col, self.choice_col, weights, **more)
 
-    def starting_values(self, init_vals, init_shapes=None, init_intercepts=None, init_coefs=None) -> np.ndarray:
+    def starting_values(self, init_vals, *parts) -> np.ndarray:
+        """One checked vector from ``init_vals`` or from its parts (shapes, intercepts, coefficients)."""
+        init_shapes, init_intercepts, init_coefs = parts or (None, None, None)
         if init_vals is None:
             if init_coefs is None:
                 raise ValueError("init_vals, or init_coefs and the parts before them, are needed")
@@ -179,7 +187,7 @@ class ChoiceModel:
     def constraints(self, positions: Iterable[int] | None) -> tuple[int, ...]:
         return tuple(sorted(set(positions or ())))
 
-    def fit_mle(self, init_vals=None, init_shapes=None, init_intercepts=None, init_coefs=None, print_res: bool = False,
+    def fit_mle(self, init_vals: Vector = None, init_shapes: Vector = None, init_intercepts: Vector = None, init_coefs: Vector = None, print_res: bool = False,
                 method: str = "BFGS", loss_tol: float = 1e-6, gradient_tol: float = 1e-6, maxiter: int = 1000,
                 ridge: float | None = None, constrained_pos=None, just_point: bool = False, weights: str | Column | None = None,
                 **block_options) -> FitResult | Outcome:
@@ -284,7 +292,7 @@ class ChoiceModel:
         r = self.result
         card = {
             "model_type": next(k for k, v in MODELS.items() if v is type(self)), "alternatives": list(self.design.alternatives),
-            "alt_id_col": self.alt_id_col, "obs_id_col": self.obs_id_col, "choice_col": self.choice_col, "specification": dict(self.specification),
+            **{k: getattr(self, k) for k in _KEYS}, "specification": dict(self.specification),
             "names": None if self.names is None else dict(self.names), "intercept_ref_pos": self.intercept_ref_pos,
             "shape_ref_pos": self.shape_ref_pos, "nest_spec": None if self.nest_spec is None else dict(self.nest_spec),
             "mixing_id_col": self.mixing_id_col, "mixing_vars": self.mixing_vars, "param_names": self.param_names,
@@ -527,7 +535,9 @@ MODELS = {
 def create_choice_model(data, alt_id_col: str, obs_id_col: str, choice_col: str, specification: Mapping, model_type: str, **options) -> ChoiceModel:
     """A model of one of the seven types in ``MODELS``."""
     validate.model_type(model_type, MODELS)
-    return MODELS[model_type](data, alt_id_col, obs_id_col, choice_col, specification, **options)
+    kind = MODELS[model_type]
+    keys = (alt_id_col, obs_id_col, choice_col)
+    return kind(data, *keys, specification=specification, **options)
 
 
 def load_model(data, path: str) -> ChoiceModel:
@@ -537,7 +547,7 @@ def load_model(data, path: str) -> ChoiceModel:
     options = {k: card[k] for k in ("names", "intercept_ref_pos", "shape_ref_pos", "nest_spec") if card[k] is not None}
     if card["mixing_vars"]:
         options |= {"mixing_id_col": card["mixing_id_col"], "mixing_vars": card["mixing_vars"]}
-    model = create_choice_model(df, card["alt_id_col"], card["obs_id_col"], card["choice_col"], card["specification"], card["model_type"], **options)
+    model = create_choice_model(df, *(card[k] for k in _KEYS), card["specification"], card["model_type"], **options)
     if card["params"] is not None:
         k = len(card["params"])
         nan = np.full((k, k), np.nan)

@@ -12,13 +12,14 @@ from choicelake.operators.spec import Layout
 from choicelake.plans import kernels
 from choicelake.plans.blocks import _unit_draws
 
-SPATIAL = np.array([48, 36, 20, 29, 42, 42, 20, 42, 22, 41, 45, 14, 6, 0, 33, 28, 34, 4, 32, 24, 47, 41, 24, 26, 30, 41.0])
+SPATIAL = np.array("48 36 20 29 42 42 20 42 22 41 45 14 6 0 33 28 34 4 32 24 47 41 24 26 30 41".split(), float)
 MICRO = [(1, 1, 0, 1.0), (1, 2, 1, 2.0), (1, 3, 0, 3.0), (2, 1, 0, 1.5), (2, 3, 1, 3.5)]
-SIX = list(zip(
-    [1, 1, 1, 2, 2, 3, 3, 3, 4, 4, 5, 5, 5, 6, 6, 6], [1, 2, 3, 1, 3, 1, 2, 3, 2, 3, 1, 2, 3, 1, 2, 3],
-    [0, 1, 0, 0, 1, 1, 0, 0, 1, 0, 1, 0, 0, 0, 0, 1],
-    [1, 2, 3, 1.5, 3.5, 0.78, 0.23, 1.04, 2.52, 1.49, 0.85, 1.37, 1.17, 2.03, 1.62, 1.94],
-))
+SIX = [
+    (int(o), int(a), int(c), float(x)) for o, a, c, x in (row.split(":") for row in (
+        "1:1:0:1 1:2:1:2 1:3:0:3 2:1:0:1.5 2:3:1:3.5 3:1:1:.78 3:2:0:.23 3:3:0:1.04 "
+        "4:2:1:2.52 4:3:0:1.49 5:1:1:.85 5:2:0:1.37 5:3:0:1.17 6:1:0:2.03 6:2:0:1.62 6:3:1:1.94"
+    ).split())
+]
 KEYS = ("alt_id", "obs_id", "choice")
 
 
@@ -128,7 +129,7 @@ def test_micro_goldens(spark):
 
 
 def test_nested_goldens():
-    x = np.array([[1, 0, 1], [0, 1, 2], [0, 0, 3], [1, 0, 1.5], [0, 0, 3.5]])
+    x = np.column_stack([np.eye(3)[[0, 1, 2, 0, 2]][:, :2], (1, 2, 3, 1.5, 3.5)])
     block = kernels.Block(x, np.array([0, 0, 0, 1, 1]), np.array([0, 1, 2, 0, 2]), np.array([0, 1, 0, 0, 1.0]), np.ones(5))
     family = kernels.Nested(Layout(index=3, nests=2), 3, nest_of_alt=np.array([0, 0, 1]))
     theta = np.array([math.log(0.995 / 0.005), 0.0, 0.3, -0.6, 0.2])

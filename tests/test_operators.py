@@ -37,7 +37,7 @@ def test_round_trip(long, spark):
     table = long.unionByName(third)
     wide = wide_of(table)
     back = convert_wide_to_long(
-        wide, ["m"], {"y": {a: f"y_{a}" for a in (1, 2, 3)}, "z": {1: "z_1", 2: "z_2"}}, {3: "availability_3", 1: "availability_1", 2: "availability_2"},
+        wide, ["m"], {"y": {a: f"y_{a}" for a in (1, 2, 3)}, "z": {a: f"z_{a}" for a in (1, 2)}}, {3: "availability_3", 1: "availability_1", 2: "availability_2"},
         "obs_id", "choice", "alt_id",
     )
     want = table.select("obs_id", F.col("alt_id").cast("long"), "choice", "m", "y", "z")
@@ -162,8 +162,7 @@ def test_sources(spark, tmp_path, long):
 
 
 def test_stratified_samples(spark):
-    alt = [1, 2, 1, 3, 2, 3, 2, 3, 1, 3, 1, 2]
-    choice = [0, 1, 1, 0, 0, 1, 1, 0, 0, 1, 1, 0]
+    alt, choice = map(int, "121323231312"), map(int, "011001100110")
     df = spark.createDataFrame([(1 + i // 2, a, c) for i, (a, c) in enumerate(zip(alt, choice))], "obs_id long, alt_id int, choice int")
     strata = {}
     for a, o in sampling.observations_by_choice(df, "obs_id", "alt_id", "choice").collect():
