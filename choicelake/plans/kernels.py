@@ -321,7 +321,3 @@ class Mixed(Family):
         outer = (scores * w[:, None]).T @ scores
         chi = float(((block.y - mean_p) ** 2 / np.where(mean_p == 0, TINY, mean_p)).sum())
         return Totals(value, gradient, -outer, np.full_like(outer, np.nan), chi)
-
-    def penalised(self, theta, totals, ridge):
-        out = super().penalised(theta, totals, ridge)
-        return out
