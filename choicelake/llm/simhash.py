@@ -8,6 +8,7 @@ segment every pair within s * (r + 1) - 1 bits is met.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choicelake.llm.common import connected_components, cut, stored
+from choicelake.llm.common import connected_components, cut, hash_sample, stored
 
 SEED = 42
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -172,50 +173,59 @@ def hex_digits(fp: Column) -> Column:
 
 # --- near-duplicates by shingle similarity ---------------------------------------------
 
-WIDE = 256
-#: Bits of a wide fingerprint by which texts of similarity 0.8 may differ; unrelated texts differ by about 110.
-WIDE_DISTANCE = 48
+#: About so many texts tell which shingles are common, and at most so many of those are kept.
+SAMPLE_TEXTS = 1 << 14
+COMMON = 1 << 16
 
 
-def _word_bits(word: bytes, known: dict) -> bytes:
-    found = known.get(word)
-    if found is None:
-        if len(known) >= 1 << 17:
-            known.clear()
-        known[word] = found = xxhash.xxh3_128_digest(word, 1) + xxhash.xxh3_128_digest(word, 2)
-    return found
+def _common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in two or more of a sample's texts, ascending, with their counts there."""
+    sample = hash_sample(docs.select("text"), ["text"], SAMPLE_TEXTS).distinct()
+    counts = (
+        _shingle_sets(sample, k).select(F.explode("shingles").alias("shingle"))
+        .groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+        .orderBy(F.desc("n"), "shingle").limit(COMMON).toPandas()
+    )
+    shingles = counts["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], counts["n"].to_numpy(np.int64)[order]
 
 
-def wide_fingerprint(words: list[bytes], known: dict) -> np.ndarray:
-    """256 bits over a text's distinct words, weighted by length so that common short ones count little."""
-    distinct = sorted(set(words))
-    weights = np.array([max(len(w) - 2, 0) for w in distinct], np.float32)
-    if not weights.any():
-        weights[:] = 1
-    total = np.zeros(WIDE, np.float32)
-    for i in range(0, len(distinct), 4096):
-        part = distinct[i : i + 4096]
-        raw = np.frombuffer(b"".join([_word_bits(w, known) for w in part]), np.uint8).reshape(len(part), -1)
-        total += weights[i : i + 4096] @ np.unpackbits(raw, axis=1).astype(np.float32)
-    return np.packbits(total * 2 > weights.sum()).view(">u8").astype(np.uint64)
+def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones before common ones, that meet every similar set's.
+
+    Sets of Jaccard similarity s share at least s of the shingles of either, so under one
+    order of all shingles the first (1 - s) * size + 1 of both have one in common.  Any
+    order will do; this one keeps common shingles out.
+    """
+    if not len(shingles):
+        return shingles
+    count = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        count = np.where(common[at] == shingles, counts[at], 0)
+    shared = math.ceil(similarity * len(shingles) - 1e-9)
+    return shingles[np.argsort(count, kind="stable")[: len(shingles) - shared + 1]]
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, hash of the exact text, node (hash of the words), wide fingerprint."""
+def _described(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Per row: doc_id, hash of the exact text, node (hash of the words), number of shingles, their prefix."""
+    common, counts = _common_shingles(docs, k)
 
-    @F.pandas_udf("node long, fp array<long>")
+    @F.pandas_udf("node long, size int, prefix array<long>")
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
         for batch in batches:
-            nodes, prints = [], []
+            nodes, sizes, prefixes = [], [], []
             for text in batch:
                 words = word_bytes(text)
                 nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-                prints.append(wide_fingerprint(words, known).view(np.int64) if words else np.zeros(4, np.int64))
-            yield pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "fp": prints})
+                shingles = np.unique(shingle_hashes(words, k))
+                sizes.append(len(shingles))
+                prefixes.append(prefix(shingles, common, counts, similarity).view(np.int64))
+            yield pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "size": sizes, "prefix": prefixes})
 
     return docs.select("doc_id", F.xxhash64("text").alias("exact"), describe(F.col("text")).alias("d")).select(
-        "doc_id", "exact", "d.node", "d.fp"
+        "doc_id", "exact", "d.node", "d.size", "d.prefix"
     )
 
 
@@ -225,15 +235,7 @@ def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             yield pd.Series([np.unique(shingle_hashes(word_bytes(x), k)).view(np.int64) for x in batch])
 
-    return texts.select("node", sets(F.col("text")).alias("shingles"))
-
-
-def _distance(a: str, b: str) -> Column:
-    each = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WIDE // 64)]
-    total = each[0]
-    for x in each[1:]:
-        total = total + x
-    return total
+    return texts.select(*(c for c in texts.columns if c != "text"), sets(F.col("text")).alias("shingles"))
 
 
 def _sets_of(pairs: DataFrame, docs: DataFrame, texts: DataFrame, k: int, known: DataFrame | None = None) -> DataFrame:
@@ -265,47 +267,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, exact, group) per row of ``docs``; ``exact`` is a hash of the text.
 
-    Texts with the same words are one node.  Nodes meet under 8 segments of 32 bits of a
-    wide fingerprint, radius 1 (all pairs within 15 bits, most of those further apart),
-    within ``WIDE_DISTANCE`` bits in all; then their sets of ``k``-word shingles are compared.
+    Texts with the same words are one node.  Nodes meet under the shingles of their
+    prefixes (see ``prefix``), so that every pair of at least that similarity meets;
+    then their sets of ``k``-word shingles are compared.
     Under each key all compare with the key's least node first.  Pairs of two others
     are compared only where their groups still differ, so a large group of copies costs
     its size, not its square, and no pair that could join two groups is left out.
     """
-    described = stored(_described(docs))
-    prints = cut(described.groupBy("node").agg(F.first("fp").alias("fp"), F.first("exact").alias("exact")))
+    described = stored(_described(docs, k, similarity))
+    prints = stored(described.dropDuplicates(["node"]).select("node", "exact", "size", "prefix"))
     texts = prints.select("node", "exact")
-    segments = [_keyed(n, _segment(F.col("fp")[n // 2], n % 2)) for n in range(WIDE // SEGMENT)]
-    index = prints.select("node", F.explode(F.array(*segments)).alias("key"))
-    probes = _probes(index, "node").select(
-        "node", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), (F.col("mask") != 0).alias("off")
-    )
+    index = prints.select("node", "size", F.posexplode("prefix").alias("place", "key"))
     # stored, so that the join below shuffles both sides and can split a hot key
-    keys = stored(index.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")))
-    # under a key: its entries, and the queries that reach it; keys with a single print meet nothing
-    met = stored(probes.join(keys, "key").where("n > 1 or node != leader"))
-    by_node = lambda name, fp: prints.select(F.col("node").alias(name), F.col("fp").alias(fp))
+    keys = stored(index.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    # keys of a single node meet nothing
+    met = stored(index.join(keys, "key"))
+    by_node = lambda name, size: prints.select(F.col("node").alias(name), F.col("size").alias(size))
+    least, most = F.least("na", "nb"), F.greatest("na", "nb")
     first = (
-        met.where("node != leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-        .join(by_node("a", "fa"), "a").join(by_node("b", "fb"), "b")
-        .where(_distance("fa", "fb") <= WIDE_DISTANCE).select("a", "b")
+        met.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        .join(by_node("a", "na"), "a").join(by_node("b", "nb"), "b")
+        .where(least >= F.lit(similarity) * most - 1e-6).select("a", "b")
     )
     first = cut(first)
     sets = _sets_of(first, docs, texts, k)
     edges = _verified(first, sets, similarity)
     parts = cut(connected_components(edges))
 
-    several = met.where("n > 1").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    of_leader = several.where("node = leader and not off").select("key", F.col("part").alias("lead_part"))
+    several = met.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    of_leader = several.where("node = leader").select("key", F.col("part").alias("lead_part"))
     split = stored(
-        several.join(of_leader, "key").join(prints.select("node", "fp"), "node")
-        .select("key", "node", "off", "leader", "part", "fp", (F.col("part") != F.col("lead_part")).alias("apart"))
+        several.where("node != leader").join(of_leader, "key")
+        .select("key", "node", "size", "place", "part", (F.col("part") != F.col("lead_part")).alias("apart"))
     )
-    q, t = split.alias("q"), split.where("not off").alias("t")
+    q, t = split.where("apart").alias("q"), split.alias("t")
+    # shingles that both can share: those before this one, itself, and those after it
+    shared = F.least("q.place", "t.place") + F.least(F.col("q.size") - F.col("q.place"), F.col("t.size") - F.col("t.place"))
     rest = (
-        q.where("apart and node != leader").join(t.where("node != leader"), "key")
-        .unionAll(q.where("not apart and node != leader").join(t.where("apart and node != leader"), "key"))
-        .where((F.col("q.part") != F.col("t.part")) & (_distance("q.fp", "t.fp") <= WIDE_DISTANCE))
+        q.join(t, "key")
+        .where("q.part != t.part and (q.node > t.node or not t.apart)")
+        .where(shared * (1 + similarity) >= F.lit(similarity) * (F.col("q.size") + F.col("t.size")) - 1e-6)
         .select(F.greatest("q.node", "t.node").alias("a"), F.least("q.node", "t.node").alias("b")).distinct()
     )
     rest = cut(rest)

@@ -246,6 +246,39 @@ def test_deduplication_keeps_one_of_each(spark, odd, empty):
     assert left == [0, 2, 3, *range(5, 16), None]
 
 
+def test_deduplication_meets_cut_and_appended_copies(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows, group = [], []
+    for n in (25, 50, 120, 500, 1500):
+        for _ in range(12):
+            body, other = rng.choice(words, n).tolist(), rng.choice(words, n).tolist()
+            for new in (body, body[: n - int(0.15 * n)], body + other[: int(0.15 * n)]):
+                rows.append((len(rows), " ".join(new), "en", "s"))
+    sets = [set(simhash.shingle_hashes(simhash.word_bytes(r[1]), 5).tolist()) for r in rows]
+    label = components(sets, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) > 0)
+    for i, g in enumerate(label):
+        group.append((g, i))
+    several = {g for g in label if label.count(g) > 1}
+    assert len(several) == 60
+    left = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, DOCS)).collect()}
+    for g in several:
+        assert [i for h, i in group if h == g and i in left] == [min(i for h, i in group if h == g)]
+
+
+def test_deduplication_finds_all_groups_of_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) < 8000")
+    rows = docs.select("doc_id", "text").collect()
+    sets = [set(simhash.shingle_hashes(simhash.word_bytes(r["text"]), 5).tolist()) for r in rows]
+    label = components(sets, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) > 0)
+    left = {r["doc_id"] for r in simhash.deduplicated(docs).select("doc_id").collect()}
+    groups = {}
+    for r, g in zip(rows, label):
+        groups.setdefault(g, []).append(r["doc_id"])
+    several = [ids for ids in groups.values() if len(ids) > 1]
+    assert several and all([i for i in ids if i in left] == [min(ids)] for ids in several)
+
+
 # --- decontamination ---------------------------------------------------------------------------------
 
 
