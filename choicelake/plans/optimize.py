@@ -49,6 +49,9 @@ def minimise(f: Callable, x0: np.ndarray, method: str = "BFGS", gradient_tol: fl
              maxiter: int = 1000, hessian: Callable | None = None) -> Outcome:
     """``f`` returns (value, gradient).  Never raises on a failed search; says so in the outcome.
 
+    Two searches are built; other names of ``method`` stand for one of them: "l-bfgs-b" and "cg" run "bfgs";
+    "newton-cg", "trust-ncg" and "trust-exact" run "newton", which without a ``hessian`` is "bfgs" too.
+
     Stops when the largest entry of the gradient is small.  ``loss_tol`` ends a search that
     has come to a halt: no better value and a gradient that is small beside it.
     """

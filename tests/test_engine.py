@@ -252,3 +252,14 @@ def test_normal_law():
     assert normal.inverse_cdf(0.975) == pytest.approx(1.9599640)
     assert normal.inverse_cdf(0) == -math.inf
     assert normal.two_sided_p(1.96) == pytest.approx(0.04999579)
+
+
+def test_stand_in_methods_are_documented():
+    from pathlib import Path
+
+    from choicelake.plans import optimize
+
+    readme = (Path(__file__).parent.parent / "README.md").read_text()
+    for name, kind in optimize.METHODS.items():
+        if name != kind:
+            assert f'"{name}"' in optimize.minimise.__doc__ and f"`{name}`" in readme
