@@ -18,14 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) is a temporary
-    folder set.
+    Where the session names none, a temporary folder is set, but only if driver and executors
+    are one process (tests, a single machine); a cluster without a shared folder is an error.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="choicelake-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -41,7 +43,25 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables that nothing will read again."""
+    for df in tables:
+        session = df.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with as many underscores before it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
 
 
 def doc_crc(doc_id: str = "doc_id") -> Column:
@@ -75,24 +95,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star rounds.  Stars are made by a minimum per
     node and a join back on it, never by gathering a node's neighbours.  The minima are
-    cut first, so that both sides of the join are shuffles of their own and a hub with a
-    third of all links is split as a skewed partition.  Each round is cut by a reliable
-    checkpoint; nothing but two totals reaches the driver.
+    stored first, so that both sides of the join are shuffles of their own and a hub with a
+    third of all links is split as a skewed partition.  Each step is stored in the shared
+    folder, which cuts the lineage, and deleted once the next one is; nothing but two totals
+    reaches the driver.
     """
-    edges = cut(_nonself(edges))
+    edges = stored(_nonself(edges))
     before = None
     for _ in range(MAX_COMPONENT_ROUNDS):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        edges = cut(_nonself(
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = stored(_nonself(
             both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionAll(least.select("a", F.col("m").alias("b")))
         ))
-        least = cut(edges.groupBy("a").agg(F.min("b").alias("m")))
-        edges = cut(_nonself(
-            edges.join(least, "a").select("b", "m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        discard(edges, least)
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")))
+        edges = stored(_nonself(
+            large.join(least, "a").select("b", "m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionAll(least.select("a", F.col("m").alias("b")))
         ))
+        discard(large, least)
         total = edges.agg(
             F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).cast("string")
         ).first()

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from choicelake.llm import ann, decontam, langid, licenses, packing, quality, sharding, simhash, tokens, urls
+from choicelake.llm import ann, decontam, langid, licenses, neardup, packing, quality, sharding, simhash, tokens, urls
 from choicelake.llm import queries as Q
 from choicelake.llm.license_rules import rules
 
@@ -237,11 +237,11 @@ def test_deduplication_keeps_one_of_each(spark, odd, empty):
             rows.append((len(rows), " ".join(new), "en", "s"))
             group.append(g)
     df = spark.createDataFrame(rows, DOCS).withColumnRenamed("source", "group")
-    kept = simhash.deduplicated(df)
+    kept = neardup.deduplicated(df)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [4 * g for g in range(12)]
-    assert simhash.deduplicated(empty).count() == 0
-    left = sorted((r["doc_id"] for r in simhash.deduplicated(odd).collect()), key=lambda x: (x is None, x))
+    assert neardup.deduplicated(empty).count() == 0
+    left = sorted((r["doc_id"] for r in neardup.deduplicated(odd).collect()), key=lambda x: (x is None, x))
     # nulls, empties and blanks are one group; "a" and "é" each have a copy
     assert left == [0, 2, 3, *range(5, 16), None]
 
@@ -261,7 +261,7 @@ def test_deduplication_meets_cut_and_appended_copies(spark):
         group.append((g, i))
     several = {g for g in label if label.count(g) > 1}
     assert len(several) == 60
-    left = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, DOCS)).collect()}
+    left = {r["doc_id"] for r in neardup.deduplicated(spark.createDataFrame(rows, DOCS)).collect()}
     for g in several:
         assert [i for h, i in group if h == g and i in left] == [min(i for h, i in group if h == g)]
 
@@ -271,7 +271,7 @@ def test_deduplication_finds_all_groups_of_brute_force(spark):
     rows = docs.select("doc_id", "text").collect()
     sets = [set(simhash.shingle_hashes(simhash.word_bytes(r["text"]), 5).tolist()) for r in rows]
     label = components(sets, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) > 0)
-    left = {r["doc_id"] for r in simhash.deduplicated(docs).select("doc_id").collect()}
+    left = {r["doc_id"] for r in neardup.deduplicated(docs).select("doc_id").collect()}
     groups = {}
     for r, g in zip(rows, label):
         groups.setdefault(g, []).append(r["doc_id"])
