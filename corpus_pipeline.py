@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicelake.llm import decontam, langid, packing, quality, simhash
+from choicelake.llm import decontam, langid, neardup, packing, quality
 from choicelake.llm.common import stored, table
 from choicelake.llm.queries import tokenizer_path
 
@@ -33,7 +33,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
-    return simhash.deduplicated(docs, k=5, similarity=0.8)
+    return neardup.deduplicated(docs, k=5, similarity=0.8)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
