@@ -21,12 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from choicelake.llm import kernel as K
 from choicelake.llm.common import stored
-from choicelake.llm.tokens import WORDS, Vocabulary, byte_letters
+from choicelake.llm.tokens import Vocabulary, byte_letters
 
 END = 2
 #: Lengths are dealt out in so many lanes each, so that no length is one task's work.
 LANES = 4096
+#: Parts of texts whose ids a worker remembers; when full it starts anew.
+REMEMBERED = 1 << 20
 
 
 class Counts:
@@ -190,25 +193,65 @@ def plan(counts: dict[int, int], capacity: int) -> Counter:
     return fixed
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """text -> ids, as the ``tokenizers`` library gives them without added special tokens.
+class Encoder:
+    """Ids, as little-endian bytes, as the ``tokenizers`` library gives them without added special tokens.
 
-    Where ids follow the merge ranks, the faster library runs the same merges.
+    In byte-level vocabularies no word runs over a blank between two marks that are none, and a
+    token that starts with a blank starts a word.  So the library is asked once for all new
+    parts from one blank to the next, and for a whole text where blanks follow one another
+    or other spaces.
     """
-    import tiktoken
 
-    vocab = Vocabulary(path)  # not the remembered one: only the encoder is kept
-    byte = {letter: b for b, letter in enumerate(byte_letters())}
-    plain = {bytes(byte[c] for c in word): i for word, i in vocab.ids.items() if word not in vocab.specials}
-    order = [whole for _, whole in sorted(vocab.ranks.values())]
-    if [vocab.ids[w] for w in order] == sorted(vocab.ids[w] for w in order) and min((vocab.ids[w] for w in order), default=256) >= 256:
-        core = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=plain, special_tokens=vocab.specials)
-        return lambda text: core.encode(text, allowed_special="all")
-    from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        vocab = Vocabulary(path)
+        self.own, blank = Tokenizer.from_file(path), byte_letters()[32]
+        self.starts = np.zeros(max(vocab.ids.values(), default=0) + 1 + len(vocab.specials), bool)
+        self.starts[[i for word, i in vocab.ids.items() if word.startswith(blank) and word not in vocab.specials]] = True
+        self.by_parts = not any(" " in s or s.startswith(blank) for s in vocab.specials)
+        self.known: dict[str, bytes] = {}
+        self.long: list[str] = []
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, parts: set[str]) -> None:
+        new = [p for p in parts - self.known.keys() if p and not p[0].isspace() and not p[-1].isspace()]
+        self.long = [p for p in new if len(p) > 64]
+        if new:
+            ids = self.whole(" " + " ".join(new))
+            cuts = np.flatnonzero(self.starts[ids]).tolist()
+            if len(cuts) != len(new):
+                raise ValueError("a part does not start with a blank's token")
+            data = ids.tobytes()
+            self.known.update(zip(new, (data[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids)]))))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_parts:
+            return [self.whole(t).tobytes() for t in texts]
+        split = [t.split(" ") for t in texts]
+        parts = set().union(*split)
+        if len(self.known) + len(parts) > REMEMBERED:
+            self.known.clear()
+        self.learn(parts)
+        find, out = self.known.__getitem__, []
+        for text, each in zip(texts, split):
+            try:
+                if each[0][-1:].isspace() or (len(each) > 1 and not each[0]):
+                    raise KeyError
+                out.append(self.whole(each[0]).tobytes() + b"".join(map(find, each[1:])))
+            except KeyError:
+                out.append(self.whole(text).tobytes())
+        for p in self.long:
+            del self.known[p]
+        self.long = []
+        return out
+
 
-    own = Tokenizer.from_file(path)
-    return lambda text: own.encode(text, add_special_tokens=False).ids
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = 1024, end: int = END, ids: bool = True,
@@ -221,19 +264,18 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = 1024, end: int = END,
     out = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path)
+        encode, last = encoder(path), np.array([end], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for key, value in zip(batch["doc_id"], batch["text"]):
-                found = np.array([*(encode(value) if isinstance(value, str) else ()), end], dtype="<u4")
-                bounds = [0, *range((len(found) - 1) % capacity + 1, len(found) + 1, capacity)]
-                for n, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                    part = found[a:b]
-                    rows.append((key, n, a, b - a, zlib.crc32(part.tobytes()), *([part.astype("int32")] if ids else [])))
-                if len(rows) >= 20_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
+            keys = batch["doc_id"]
+            for at, texts in K.pieces(batch["text"]):
+                rows = []
+                for key, value in zip(keys.iloc[at : at + len(texts)], encode(texts)):
+                    found = np.frombuffer(value + last, "<u4")
+                    bounds = [0, *range((len(found) - 1) % capacity + 1, len(found) + 1, capacity)]
+                    for n, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                        part = found[a:b]
+                        rows.append((key, n, a, b - a, zlib.crc32(part.tobytes()), *([part.astype("int32")] if ids else [])))
+                yield pd.DataFrame(rows, columns=names)
 
     names = [x.split()[0] for x in out.split(", ")]
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -323,5 +365,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end: int = END, ids:
 
     ``ids`` adds the piece's token ids.  Null and empty texts are a single ``end``; null
     ids are packed as any other; repeated rows are packed each; an empty table gives none.
+    Only ``doc_id`` and ``text`` are read, so other columns cannot clash.  A text of any length is
+    encoded whole.
     """
     return assign(stored(pieces_of(docs, path, capacity, end, ids)), capacity)

@@ -112,6 +112,22 @@ def test_packing_gives_ids_back(odd, tokenizer):
         assert r["ids"] == [*tokenizer.encode(ODD[6], add_special_tokens=False).ids, 2]
 
 
+def test_encoder_is_the_library(tokenizer):
+    rng = np.random.default_rng(4)
+    marks = ["a", " ", "  ", "\n", " \n", " ", " ", "'s", "'ll", "<|endoftext|>", "é", "数", "12", " !", "…", "\u3000", "\x1c", "\x85", "\u200b", "\t", "\r\n", " x"]
+    encode = packing.Encoder(Q.tokenizer_path())
+    for _ in range(300):
+        texts = ["".join(rng.choice(marks, int(rng.integers(0, 15)))) for _ in range(30)]
+        for text, ids in zip(texts, encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_packing_very_long_runs(spark, tokenizer):
+    texts = [" " * 1_000_000, "a" * 1_000_000, "\x00\n\t" * 100_000 + "x", "a b" + " " * 1_500_000 + "c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _check_packing(df, rows_of(packing.pack(df, Q.tokenizer_path())), tokenizer, 1024)
+
+
 def test_packing_nothing(empty):
     assert packing.pack(empty, Q.tokenizer_path()).count() == 0
 
