@@ -1,7 +1,7 @@
 """Signature rules of the license scan, in order of authority.
 
 A line is ``label | keyword | pattern``; the text is lower-cased first.  In a pattern a blank
-stands for up to a dozen separators, and both ends must not touch a letter or digit.
+stands for any number of separators, and both ends must not touch a letter or digit.
 A rule is tried only in texts that contain its keyword.  Tiers go from explicit
 identifiers to weak hints; within a tier longer detections come first, then earlier rules.
 """
@@ -9,6 +9,9 @@ identifiers to weak hints; within a tier longer detections come first, then earl
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+
+import regex
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -301,8 +304,12 @@ terms | terms | terms and conditions apply
 
 
 def expanded(pattern: str) -> str:
-    """The pattern with its blanks and ends written out."""
-    return f"(?<!{WORD})(?:{pattern.replace('(?: ', '(?:␣').replace(' ', SEPARATOR + '{1,12}').replace('␣', SEPARATOR + '{1,12}')})(?!{WORD})"
+    """The pattern with its blanks and ends written out: any number of separators, with a question mark perhaps none."""
+    some = pattern.replace("(?: ", "(?:␣").replace(" ?", SEPARATOR + "*?").replace(" ", "␣").replace("␣", SEPARATOR + "+")
+    # what it may start with is looked at first, as looking behind is slow
+    whole = regex.compile(some)
+    first = "".join(regex.escape(c) for c in sorted({*map(chr, range(128)), *pattern}) if whole.fullmatch(c, partial=True))
+    return f"(?=[{first}])(?<!{WORD})(?:{some})(?!{WORD})"
 
 
 #: Words in too many rules to tell them apart.
@@ -319,7 +326,8 @@ def required(pattern: str) -> str:
     return max((w for w in re.findall(r"[a-z0-9]{3,}", pattern) if w not in _COMMON), key=len, default="")
 
 
-def rules() -> list[dict]:
+@lru_cache(maxsize=1)
+def rules() -> tuple[dict, ...]:
     """id, label, tier, keyword, also and regex of every rule, in order.
 
     A rule is tried where both its keyword and ``also`` occur; the second follows from the pattern.
@@ -330,4 +338,4 @@ def rules() -> list[dict]:
             label, keyword, pattern = (x.strip(" ") for x in line.split(" | ", 2))
             pattern = pattern.rstrip(" ")
             out.append({"id": len(out), "label": label, "tier": tier, "keyword": keyword, "also": required(pattern), "regex": expanded(pattern)})
-    return out
+    return tuple(out)

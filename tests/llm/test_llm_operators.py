@@ -2,6 +2,7 @@
 
 import json
 import re
+import time
 import zlib
 
 import numpy as np
@@ -389,7 +390,8 @@ def naive_scan(text):
 def test_license_scan(spark, odd, docs, empty):
     lines = ["Licensed under the Apache License, Version 2.0 (see LICENSE for details)", "SPDX-License-Identifier: GPL-2.0-or-later\nGNU General  Public\nLicense, version 2",
              "This is CC BY-SA 4.0; also cc by. CC  BY!", "All rights reserved. all-rights-reserved; Alle Rechte vorbehalten", "Tous droits réservés © 2020", "permit licensee mitlicense gplx",
-             "the MIT License (MIT)\n" * 20]
+             "the MIT License (MIT)\n" * 20, "ab\ufdd0cd x cc\ufdd0by cc by", "licensed under the\n" + " " * 40 + "apache license,\n//" + "*" * 30 + "\nversion 2.0",
+             "mit license gpl v2 gplv3 " * 7 + "all rights reserved\x00\x01cc by", "\x00\x01 \x02", "©2020 copyright (c)2020 Open-Rail M"]
     extra = spark.createDataFrame([(1000 + i, t, "en", "s") for i, t in enumerate(lines)], DOCS)
     for df in (odd, extra, docs.select("doc_id", "text", "lang", "source")):
         for r in rows_of(licenses.scan(df.withColumn("labels", df.lang))):
@@ -400,6 +402,23 @@ def test_license_scan(spark, odd, docs, empty):
     assert len(rules()) > 200
 
 
+def test_license_scan_of_very_long_texts(spark):
+    line = "Licensed under the MIT license. "
+    for text, words in ((line * 32_000, 160_000), (" \x01" * 1_000_000, 0), ("cc " * 300_000 + "by", 300_001)):
+        began = time.time()
+        (r,) = rows_of(licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")))
+        assert time.time() - began < 60 and r["n_words"] == words
+        if words == 160_000:
+            assert len(r["license_spans"]) == 32_000 and r["labels"] == "mit"
+
+
+def test_license_scan_keeps_other_columns(spark):
+    names = ["low", "words", "spans", "_low", "n0", "first1", "last2", "_all", "labels"]
+    df = spark.createDataFrame([(1, "cc by", *range(len(names)))], ["doc_id", "text", *names])
+    (r,) = rows_of(licenses.scan(df))
+    assert [r[c] for c in names[:-1]] == list(range(len(names) - 1)) and r["base_labels"] == "cc-by" and "cc-by" in r["labels"]
+
+
 # --- classifiers -------------------------------------------------------------------------------------------
 
 
