@@ -48,12 +48,12 @@ def _mixers() -> tuple[np.ndarray, np.ndarray]:
     return codes, powers
 
 
-def pieces(texts: Iterable[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about ``PIECE`` code points: (index of the first, texts); null is empty."""
+def pieces(texts: Iterable[str | None], most: int = PIECE) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``most`` code points: (index of the first, texts); null is empty."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
         text = text if isinstance(text, str) else ""
-        if held and size + len(text) > PIECE:
+        if held and size + len(text) > most:
             yield first, held
             first, held, size = i, [], 0
         held.append(text)

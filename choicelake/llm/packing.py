@@ -18,6 +18,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,42 +212,57 @@ class Encoder:
         self.starts = np.zeros(max(vocab.ids.values(), default=0) + 1 + len(vocab.specials), bool)
         self.starts[[i for word, i in vocab.ids.items() if word.startswith(blank) and word not in vocab.specials]] = True
         self.by_parts = not any(" " in s or s.startswith(blank) for s in vocab.specials)
-        self.known: dict[str, bytes] = {}
-        self.long: list[str] = []
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.bounds = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts - self.known.keys() if p and not p[0].isspace() and not p[-1].isspace()]
-        self.long = [p for p in new if len(p) > 64]
-        if new:
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        """Which known part each is, once they are known; -1 for those that begin or end with a space or are empty."""
+        found = np.fromiter((self.known.get(p, -1) for p in parts), np.int64, len(parts))
+        at = [i for i in np.flatnonzero(found < 0).tolist() if (p := parts[i]) and not p[0].isspace() and not p[-1].isspace()]
+        if at:
+            new = [parts[i] for i in at]
             ids = self.whole(" " + " ".join(new))
-            cuts = np.flatnonzero(self.starts[ids]).tolist()
+            cuts = np.flatnonzero(self.starts[ids])
             if len(cuts) != len(new):
                 raise ValueError("a part does not start with a blank's token")
-            data = ids.tobytes()
-            self.known.update(zip(new, (data[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids)]))))
+            found[at] = np.arange(len(new)) + len(self.known)
+            self.known.update(zip(new, found[at].tolist()))
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.append(cuts[1:], len(ids))])
+            self.ids = np.concatenate([self.ids, ids])
+        return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_parts:
             return [self.whole(t).tobytes() for t in texts]
-        split = [t.split(" ") for t in texts]
-        parts = set().union(*split)
-        if len(self.known) + len(parts) > REMEMBERED:
-            self.known.clear()
-        self.learn(parts)
-        find, out = self.known.__getitem__, []
-        for text, each in zip(texts, split):
-            try:
-                if each[0][-1:].isspace() or (len(each) > 1 and not each[0]):
-                    raise KeyError
-                out.append(self.whole(each[0]).tobytes() + b"".join(map(find, each[1:])))
-            except KeyError:
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = split.offsets.to_numpy()
+        parts = split.flatten().dictionary_encode()
+        if len(self.known) + len(parts.dictionary) > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
+            self.forget()
+        number = self.numbers(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+        first = offsets[:-1]
+        odd = number < 0
+        odd[first] = False
+        odd = np.logical_or.reduceat(odd, first).tolist() if len(first) else []
+        # the first parts have no blank before them
+        number[first] = -1
+        length = np.where(number < 0, 0, self.bounds[number + 1] - self.bounds[number])
+        ends = np.cumsum(length)
+        data = self.ids[np.repeat(self.bounds[number] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = np.concatenate([[0], ends[offsets[1:] - 1]]) * 4
+        out = []
+        for text, strange, a, b in zip(texts, odd, cuts.tolist(), cuts[1:].tolist()):
+            start = text.split(" ", 1)[0]
+            if strange or start[-1:].isspace() or (not start and text):
                 out.append(self.whole(text).tobytes())
-        for p in self.long:
-            del self.known[p]
-        self.long = []
+            else:
+                out.append(self.whole(start).tobytes() + data[a:b])
         return out
 
 
@@ -267,7 +284,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = 1024, end: int = END,
         encode, last = encoder(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             keys = batch["doc_id"]
-            for at, texts in K.pieces(batch["text"]):
+            for at, texts in K.pieces(batch["text"], 4 * K.PIECE):
                 rows = []
                 for key, value in zip(keys.iloc[at : at + len(texts)], encode(texts)):
                     found = np.frombuffer(value + last, "<u4")
