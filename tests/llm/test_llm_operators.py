@@ -327,8 +327,68 @@ def test_planted_passages_are_found(spark, docs):
 def test_chunks_change_nothing(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted(map(tuple, decontam.overlaps(docs, bench).collect()))
+    marked = docs.withColumn("overlaps", docs.doc_id).withColumn("hash", docs.doc_id).withColumn("found", docs.doc_id)
+    kept = sorted(map(tuple, decontam.decontaminated(marked, bench).select(*marked.columns).collect()), key=repr)
     monkeypatch.setattr(decontam, "CHUNK", 3000)
     assert sorted(map(tuple, decontam.overlaps(docs, bench).collect())) == whole
+    again = decontam.decontaminated(marked, bench)
+    assert sorted(again.columns) == sorted(marked.columns)
+    assert sorted(map(tuple, again.select(*marked.columns).collect()), key=repr) == kept
+    assert all(r["doc_id"] == r["overlaps"] == r["hash"] == r["found"] for r in again.collect())
+
+
+def naive_overlaps(text, item):
+    """Does any alignment hold a stretch that the rules accept?"""
+    there, own = ([w for w in re.findall(r"[^\W_]+", x.lower())] for x in (text, item))
+    need = len(own) if len(own) < 11 else min(13, -(-4 * len(own) // 5))
+    for shift in range(-len(own) + 1, len(there)):
+        first, last = max(0, -shift), min(len(own), len(there) - shift)
+        best, a = (0, 0, 0), first
+        total = 0
+        for i in range(first, last):
+            total += 1 if own[i] == there[i + shift] else -2
+            if total < 0:
+                total, a = 0, i + 1
+            elif total > best[0]:
+                best = (total, a, i + 1)
+        equal = sum(own[i] == there[i + shift] for i in range(best[1], best[2]))
+        if equal >= need and equal >= 0.8 * (best[2] - best[1]):
+            return True
+    return False
+
+
+def test_overlaps_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items, rows = [], []
+    for n in (1, 2, 3, 4, 7, 10, 11, 12, 15, 18, 22, 25, 29, 30, 40, 60):
+        for _ in range(3):
+            item = rng.choice(vocabulary, n).tolist()
+            items.append((len(items), " ".join(item)))
+            for share in (0.0, 0.1, 0.15, 0.2, 0.25, 0.4):
+                copy = list(item)
+                for i in rng.choice(n, round(share * n), replace=False):
+                    copy[i] = "other"
+                around = rng.choice(vocabulary[:50], 20).tolist()
+                rows.append((len(rows), " ".join(around + copy + around)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    long = {i for i, t in items if len(t.split()) >= decontam.SHORT_ITEM}
+    want = {(d, i) for d, text in rows for i, item in items if naive_overlaps(text, item)}
+    assert found <= want and {x for x in want - found if x[1] not in long} == set()
+    assert len(found) >= 0.98 * len(want)
+    some = {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(docs, spark.createDataFrame(items, "item_id long, text string"), least_item=5).collect()}
+    assert some == {x for x in found if len(items[x[1]][1].split()) >= 5}
+
+
+def test_repeated_words_are_bounded_work():
+    began = time.time()
+    index = decontam.Index.of([1], ["a " * 1000])
+    (found,) = index.overlaps(["a " * 4000])
+    assert time.time() - began < 5 and {x[0] for x in found} == {1}
+    rng = np.random.default_rng(1)
+    a, b = np.unique(rng.integers(0, 9000, 3000)), np.unique(rng.integers(0, 2000, 900))
+    assert decontam.distances(a, b).tolist() == sorted({int(x) - int(y) for x in a for y in b})
 
 
 # --- sharding ------------------------------------------------------------------------------------------
