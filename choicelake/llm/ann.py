@@ -118,7 +118,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K_NEAREST) -> DataF
     with the k + 1 least of their ids: no more of them can be among the k nearest, so
     a vector that a third of all rows share is spread evenly and costs little.  Vectors of
     other lengths than a query's are not candidates.  Scores are the correctly rounded
-    sums of the exact products; ties go to the smaller vec_id.  A repeated vec_id counts
+    sums of the products in double precision; ties go to the smaller vec_id.  A repeated vec_id counts
     once, with its nearest vector (as a query: the least).  Unusable vectors and null ids
     take no part; empty tables give none.
     """

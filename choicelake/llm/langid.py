@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choicelake.llm import kernel as K
-from choicelake.llm.common import doc_crc, hash_sample, stored
+from choicelake.llm.common import doc_crc, free_name, hash_sample, stored
 
 UNDETERMINED = "und"
 #: Rows to learn from, at most about; chosen by a hash of id and text.
 TRAIN_ROWS = 16_384
 #: Words of the lexicon, the most frequent first, each seen at least twice.
 LEXICON = 65_536
+#: The model and what makes it grow with the languages; more than so many are an error.
+LANGUAGES = 512
 ORDERS = (5, 4, 3, 2, 1)
 SLOTS = 1 << 16
 #: Log10 of the frequency given to what a language was never seen to have.
@@ -129,8 +131,9 @@ def _counted(sample: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, lexicon: int = LEXICON) -> Model:
     """Learn from (doc_id, text, lang) of which ``rows`` at most about are read.
 
-    Null texts and languages are left out.  The model's size is bound by ``lexicon``,
-    ``SLOTS`` and the number of languages; only that reaches the driver.
+    Null texts and languages are left out.  Words seen once, and those beyond the ``lexicon`` most frequent,
+    are scored by their n-grams like unseen ones.  The model's size is bound by ``lexicon``,
+    ``SLOTS`` and the number of languages (``LANGUAGES`` at most); only that reaches the driver.
     """
     sample = hash_sample(labelled.where("lang is not null").select("doc_id", "text", "lang"), ["doc_id", "text"], rows)
     counts = stored(_counted(sample.where("text is not null")))
@@ -138,8 +141,10 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, lexicon: int = LEXICON) ->
         counts.where("kind = 0").groupBy("key").agg(F.sum("n").alias("all"))
         .where("`all` >= 2").orderBy(F.desc("all"), "key").limit(lexicon)
     )
-    totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()
+    totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).limit(LANGUAGES * (len(ORDERS) + 1) + 1).collect()
     languages = sorted({r["lang"] for r in totals})
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     total = {(languages.index(r["lang"]), r["kind"]): r["n"] for r in totals}
     # numbers for names, as there may be millions of rows
     number = (F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1).cast("int") if languages else F.lit(0)
@@ -164,11 +169,12 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, lexicon: int = LEXICON) ->
     return Model(languages, keys, word_scores, gram_scores, gram_known)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score (0 to 1); no row moves.
+def identify(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with a language and its score (0 to 1); no row moves.
 
-    A null text, or one without a letter, is ``und`` with score 0, as is every text if nothing
-    was learned.  Ties go to the language that sorts first.
+    Columns of the names ``into`` are replaced, all others stay.  A null text, or one without a letter, is ``und`` with score 0, as is every text if nothing
+    was learned.  Ties go to the language that sorts first.  Texts of any length are read whole;
+    repeated rows are judged each.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -186,10 +192,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 scores[at] = (sharp.max(1) / sharp.sum(1))[seen]
             yield pd.DataFrame({"lang_pred": names, "lang_score": scores})
 
-    found = "_found_language"
+    found = free_name(docs, "found")
     return (
         docs.withColumn(found, predict(F.col(text)))
-        .withColumns({"lang_pred": F.col(found)["lang_pred"], "lang_score": F.col(found)["lang_score"]})
+        .withColumns({name: F.col(found)[part] for name, part in zip(into, ("lang_pred", "lang_score"))})
         .drop(found)
     )
 

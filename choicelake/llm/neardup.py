@@ -215,8 +215,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> D
     """Of (a, b) those whose shingle sets have at least that Jaccard similarity."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     made = _sets_of(docs, wanted, k)
-    # some tasks may have met the same words
-    sets = made.dropDuplicates(["node"])
+    # some tasks may have met the same words; stored, so that the joins can split a hub's pairs
+    sets = stored(made.dropDuplicates(["node"]))
+    discard(made)
     both = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -225,7 +226,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> D
     found = stored(
         both.where(F.col("common") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
     )
-    discard(made)
+    discard(sets)
     return found
 
 

@@ -30,6 +30,8 @@ from choicelake.llm.tokens import Vocabulary, byte_letters
 END = 2
 #: Lengths are dealt out in so many lanes each, so that no length is one task's work.
 LANES = 4096
+#: A row's number in its file, of which a few values do: tells repeated rows apart.
+TURN = "turn"
 #: Parts of texts whose ids a worker remembers; when full it starts anew.
 REMEMBERED = 1 << 20
 
@@ -326,7 +328,9 @@ def assign(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """
     spark = pieces.sparkSession
     short = pieces.where(F.col("length") < capacity)
-    lane = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(LANES)).cast("int")
+    # by content, so that the same table is packed alike, and by turns where rows are repeated
+    turn = [c for c in pieces.columns if c == TURN]
+    lane = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", *turn), F.lit(LANES)).cast("int")
     counts = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count("*").alias("n")).collect()}
     patterns = sorted(plan(counts, capacity).items(), reverse=True)
 
@@ -357,7 +361,7 @@ def assign(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
         F.broadcast(spots_df),
         (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")),
     ).withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("rank_from"))
-    columns = [*pieces.columns, "sequence_id", "offset"]
+    columns = [*(c for c in pieces.columns if c != TURN), "sequence_id", "offset"]
     # full pieces: a sequence each; ids from the other end of the numbers
     full = pieces.where(F.col("length") == capacity).withColumns(
         {"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}
@@ -385,4 +389,5 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end: int = END, ids:
     Only ``doc_id`` and ``text`` are read, so other columns cannot clash.  A text of any length is
     encoded whole.
     """
-    return assign(stored(pieces_of(docs, path, capacity, end, ids)), capacity)
+    pieces = pieces_of(docs, path, capacity, end, ids)
+    return assign(stored(pieces.withColumn(TURN, F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int"))), capacity)

@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choicelake.llm import kernel as K
-from choicelake.llm.common import doc_crc, hash_sample
+from choicelake.llm.common import doc_crc, hash_sample, stored
 
 BUCKETS = 1 << 18
 #: Labelled rows to fit on, at most about; chosen by a hash of doc_id.
 TRAIN_ROWS = 12_288
+#: Bytes of their features that reach the driver, at most about; 4 for each of a text's distinct buckets.
+TRAIN_BYTES = 1 << 27
 #: One row in so many of them calibrates instead of fitting.
 CALIBRATE = 5
 ALPHA = 1.0
@@ -160,10 +162,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -500, 500)))
 
 
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+def fit(labelled: DataFrame, most_bytes: int = TRAIN_BYTES) -> Model:
     """Learn from (doc_id, text, label 0 or 1), all of which the caller has chosen to be seen.
 
-    Without any row of one class the score is constant.
+    Of rows whose features take more than ``most_bytes`` together, about that many bytes are
+    sampled by a hash of doc_id.  Without any row of one class the score is constant.
     """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,8 +180,13 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                     "row": [bucket[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:])],
                 })
 
+    encoded = stored(labelled.select("doc_id", "text", "label").mapInPandas(encode, "doc_id long, label int, row binary"))
+    size = encoded.agg(F.coalesce(F.sum(F.octet_length("row")), F.lit(0))).first()[0]
+    if size > most_bytes:
+        share = int(2**30 * (most_bytes / size))
+        encoded = encoded.where(F.pmod(F.xxhash64("doc_id", F.lit("bytes")), F.lit(2**30)) < share)
     # as Arrow, whose one buffer of buckets is used in place
-    found = labelled.select("doc_id", "text", "label").mapInPandas(encode, "doc_id long, label int, row binary").toArrow().combine_chunks()
+    found = encoded.toArrow().combine_chunks()
     ids, label = (found[c].to_numpy() for c in ("doc_id", "label"))
     order = np.lexsort((label, ids))
     sparse, labels = _rows(found["row"]).part(order), np.where(label[order] > 0, 1, -1)
@@ -234,12 +242,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", ro
     return docs.select("doc_id", "text").join(F.broadcast(hash_sample(chosen, ["doc_id"], rows)), "doc_id")
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with quality_score (0 to 1) and quality_predicted; no row moves.
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD,
+          into: tuple[str, str] = ("quality_score", "quality_predicted")) -> DataFrame:
+    """``docs`` with a score (0 to 1) and 1 or 0 as it reaches the threshold; no row moves.
 
-    Null and empty texts get the score of a text without features.
+    Columns of the names ``into`` are replaced, all others stay.  Null and empty texts get the
+    score of a text without features; texts of any length are read whole; repeated rows are
+    scored each.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, score, predicted = docs.sparkSession.sparkContext.broadcast(model), *into
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -249,6 +260,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                 out[first : first + len(texts)] = held.value.scores(texts)
             yield pd.Series(out)
 
-    return docs.withColumn("quality_score", scored(F.col(text))).withColumn(
-        "quality_predicted", (F.col("quality_score") >= threshold).cast("int")
-    )
+    return docs.withColumn(score, scored(F.col(text))).withColumn(predicted, (F.col(score) >= threshold).cast("int"))

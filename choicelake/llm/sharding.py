@@ -12,8 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from choicelake.llm.common import stored
+
 CELLS = 1 << 16
 VIRTUAL = 128
+#: Rows of a cell beyond which it is ranked in lanes, if it also has eight times the mean.
+HOT_CELL = 1 << 17
+LANES = 512
 
 
 def ring(spark: SparkSession, shards: int, virtual: int = VIRTUAL) -> list[tuple[int, int]]:
@@ -76,26 +81,37 @@ def assign(docs: DataFrame, shards: int = 8, virtual: int = VIRTUAL, doc_id: str
     """(doc_id, size, text_crc32, shard, slot) for every row.
 
     To the driver come at most ``CELLS`` counts, and as much is broadcast back; texts never
-    move.  Null texts have size 1 and the CRC of nothing.  Repeated rows are rows like others;
-    ties within a place of the ring are broken by id, checksum and size.
+    move and are read once.  Null texts have size 1 and the CRC of nothing.  Repeated rows are rows like
+    others; ties within a place of the ring are broken by id, checksum and size.  A cell with far more
+    rows than others (one id in a third of all rows) is ranked in ``LANES`` lanes, a task each.
+    Other columns are not read.
     """
     spark = docs.sparkSession
     key, body = F.col(doc_id), F.coalesce(F.col(text), F.lit(""))
     place = position(key, F.col(text))
     cell = F.pmod(place, F.lit(CELLS)).cast("int")
-    counts = {r["cell"]: r["n"] for r in docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}
-    dealt = deal(counts, ring(spark, shards, virtual), shards)
-    schema = "p_cell int, rank_from long, rank_to long, shard int, first_slot long"
-    plan = spark.createDataFrame(dealt, schema)
-    rows = docs.select(
+    rows = stored(docs.select(
         key.alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        cell.alias("cell"), place.alias("place"),
-    )
-    ranked = rows.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("cell").orderBy("place", "doc_id", "text_crc32", "size")) - 1
-    )
+        cell.alias("cell"), place.alias("place"), F.pmod(F.monotonically_increasing_id(), F.lit(LANES)).cast("int").alias("lane"),
+    ))
+    counts = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    dealt = deal(counts, ring(spark, shards, virtual), shards)
+    schema = "p_cell int, rank_from long, rank_to long, shard int, first_slot long"
+    plan = spark.createDataFrame(dealt, schema)
+    least = max(HOT_CELL, 8 * sum(counts.values()) // CELLS)
+    hot = sorted(c for c, n in counts.items() if n > least)  # an eighth of all cells at most
+    order = Window.partitionBy("cell", "lane").orderBy("place", "doc_id", "text_crc32", "size")
+    if hot:
+        rows = rows.withColumn("lane", F.when(F.col("cell").isin(hot), F.col("lane")).otherwise(0))
+        firsts = rows.where(F.col("cell").isin(hot)).groupBy("cell", "lane").agg(F.count("*").alias("n")).withColumn(
+            "before", F.sum("n").over(Window.partitionBy("cell").orderBy("lane")) - F.col("n")
+        ).drop("n")
+        ranked = rows.withColumn("in_lane", F.row_number().over(order) - 1).join(firsts, ["cell", "lane"], "left")
+        ranked = ranked.withColumn("rank", F.col("in_lane") + F.coalesce("before", F.lit(0)))
+    else:
+        ranked = rows.withColumn("lane", F.lit(0)).withColumn("rank", F.row_number().over(order) - 1)
     return ranked.join(
         F.broadcast(plan),
         (F.col("cell") == F.col("p_cell")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choicelake.llm.common import stored
+from choicelake.llm.common import free_name, stored
 
 #: (verdict, host, path)
 RULES = (
@@ -41,7 +41,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def best_rule(host: Column, path: Column, rules=RULES) -> Column:
     """The longest fitting rule as struct(rule, verdict); null without one.
 
-    The longest host wins, then the longest path, then the rule given first.
+    The longest rule, host and path together, wins, then the one given first.
     """
     order = sorted(range(len(rules)), key=lambda i: (-len(rules[i][1] + rules[i][2]), i))
     found = None
@@ -127,8 +127,8 @@ def judged(pages: DataFrame, rules=RULES, order: int = ORDER, url: str = "url")
 
     The score is the mean log ratio per character of URLs that no rule decides (null for
     others; 0 for an empty or null URL), allowed at or above the threshold.  Equal URLs
-    get equal scores.  If the rules teach only one class or none the threshold is 0 and so
-    is every score.
+    get equal scores, repeated rows each.  If the rules teach only one class or none the threshold
+    is 0 and so is every score.  Columns of the five names are replaced, all others stay.
     """
     host, path = host_and_path(F.col(url))
     ruled = best_rule(host, path, rules)
@@ -148,16 +148,17 @@ def judged(pages: DataFrame, rules=RULES, order: int = ORDER, url: str = "url")
         .groupBy("url", "verdict").agg(F.avg("ratio").alias("score"))
     )
     threshold = _threshold(scored)
-    unruled = scored.where("verdict is null").select(F.col("url").alias("_url"), F.col("score").alias("_score"))
-    names = {"url_host": host, "url_path": path, "_ruled": ruled}
-    out = pages.withColumns(names).join(
-        unruled, F.col("_ruled").isNull() & (F.coalesce(F.col(url), F.lit("")) == F.col("_url")), "left"
+    decided, same, of_same = (free_name(pages, x) for x in ("decided", "same_url", "same_score"))
+    unruled = scored.where("verdict is null").select(F.col("url").alias(same), F.col("score").alias(of_same))
+    out = pages.withColumn(decided, ruled).join(
+        unruled, F.col(decided).isNull() & (F.coalesce(F.col(url), F.lit("")) == F.col(same)), "left"
     )
-    score = F.when(F.col("_ruled").isNull(), F.coalesce("_score", F.lit(0.0)))
+    score = F.when(F.col(decided).isNull(), F.coalesce(of_same, F.lit(0.0)))
     verdict = F.when(score >= threshold, "allow").otherwise("block")
     return out.withColumns({
-        "url_rule": F.col("_ruled")["rule"], "url_score": score, "url_verdict": F.coalesce(F.col("_ruled")["verdict"], verdict),
-    }).drop("_ruled", "_url", "_score")
+        "url_host": host, "url_path": path, "url_rule": F.col(decided)["rule"], "url_score": score,
+        "url_verdict": F.coalesce(F.col(decided)["verdict"], verdict),
+    }).drop(decided, same, of_same)
 
 
 def _threshold(scored: DataFrame) -> float:
