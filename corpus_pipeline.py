@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but
-the last return the columns of ``documents`` unchanged.
+the last return the columns of ``documents`` unchanged, and any others, whatever their names.
+Null ids and repeated rows pass through like others up to the near-duplicate stage, which keeps one
+row of each group; null and empty texts have no language and go with the second stage.
 """
 
 from __future__ import annotations
@@ -10,25 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicelake.llm import decontam, langid, neardup, packing, quality
-from choicelake.llm.common import stored, table
+from choicelake.llm.common import free_name, stored, table
 from choicelake.llm.queries import tokenizer_path
 
 #: Texts whose best language is less sure than this go, as do those of no language.
 LEAST_LANGUAGE_SCORE = 0.5
+#: A few words in common are no leak: a benchmark answer such as "yes" is in most clean documents.
+LEAST_ITEM_WORDS = 5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality.fit(quality.training_rows(docs, table(spark, sf_dir, "labels")))
-    return quality.score(docs, model).where("quality_predicted = 1").select(*docs.columns)
+    score, predicted = free_name(docs, "quality_score"), free_name(docs, "quality_predicted")
+    return quality.score(docs, model, into=(score, predicted)).where(F.col(predicted) == 1).drop(score, predicted)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned, surely enough."""
     model = langid.fit(docs)
-    found = langid.identify(docs, model)
-    sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
-    return found.where(sure).select(*docs.columns)
+    name, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    sure = (F.col(name) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)
+    return langid.identify(docs, model, into=(name, score)).where(sure).drop(name, score)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +42,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark item."""
-    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that overlap no benchmark item of ``LEAST_ITEM_WORDS`` words or more."""
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"), least_item=LEAST_ITEM_WORDS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
