@@ -33,7 +33,7 @@ LANES = 4096
 #: A row's number in its file, of which a few values do: tells repeated rows apart.
 TURN = "turn"
 #: Parts of texts whose ids a worker remembers; when full it starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 
 class Counts:
