@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from choicelake.operators import intervals, reshape, sampling, softmax
+from choicelake.operators import intervals, reshape, sampling, softmax, spec, validate
 from choicelake.plans.bootstrap import Boot
 from choicelake.plans.models import ChoiceModel, create_choice_model
 
@@ -79,7 +79,7 @@ FROM orders CROSS JOIN (VALUES (1), (2), (3)) AS alts(a) WHERE o_orderstatus IN
 draws AS (SELECT mix_id, d AS draw_id, sin(mix_id * CAST(12.9898 AS DOUBLE) + d * CAST(78.233 AS DOUBLE)) * CAST(1.5 AS DOUBLE) AS eta
 FROM (SELECT DISTINCT mix_id FROM panel) CROSS JOIN (VALUES (1), (2), (3), (4)) AS n(d)),
 per_draw AS (SELECT *, e / sum(e) OVER (PARTITION BY obs_id, draw_id) AS p FROM (
-SELECT panel.*, draw_id, exp(CASE alt_id WHEN 2 THEN 0.4e0 WHEN 3 THEN -0.7e0 ELSE 0e0 END + 0.3e0 * x + 0.5e0 * x * eta) AS e
+SELECT panel.*, draw_id, eta, exp(CASE alt_id WHEN 2 THEN 0.4e0 WHEN 3 THEN -0.7e0 ELSE 0e0 END + 0.3e0 * x + 0.5e0 * x * eta) AS e
 FROM panel JOIN draws USING (mix_id)))"""
 _V = "(-0.6e0 * x1 + 0.8e0 * x2)"
 
@@ -113,20 +113,19 @@ def scan_choice_table(spark, sf_dir):
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
 def dup_check(spark, sf_dir):
     lines = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("obs_id"), F.col("l_linenumber").alias("alt_id"))
-    return lines.groupBy("obs_id", "alt_id").agg(F.count("*").alias("n")).where("n > 1")
+    return validate.repeated_rows(lines, "obs_id", "alt_id")
 
 
 @query(f"WITH {_LINES} SELECT count(DISTINCT obs_id) AS n_obs, CAST(sum(choice) AS BIGINT) AS n_chosen FROM t")
 def chosen_count_check(spark, sf_dir):
-    return choice_table(spark, sf_dir).agg(F.countDistinct("obs_id").alias("n_obs"), F.sum("choice").alias("n_chosen"))
+    return validate.choice_totals(choice_table(spark, sf_dir), "obs_id", "choice")
 
 
 @query("""SELECT o_orderkey AS obs_id FROM orders WHERE CAST(substr(o_orderpriority, 1, 1) AS INTEGER) NOT IN (1, 2, 3, 4)""")
 def unavailable_choice_check(spark, sf_dir):
     """Orders whose choice would be missing if the fifth priority were not offered."""
     wide = priority_table(spark, sf_dir).withColumn("av5", F.lit(0))
-    there = F.coalesce(*(F.when(F.col("choice") == a, F.col(f"av{a}")) for a in range(1, 6)), F.lit(0))
-    return wide.where(there == 0).select("obs_id")
+    return validate.unavailable_choices(wide, "choice", {a: f"av{a}" for a in range(1, 6)}).select("obs_id")
 
 
 @query(f"""WITH {_LINES} SELECT alt_id, count(*) AS n_available, CAST(sum(choice) AS BIGINT) AS n_chosen FROM t GROUP BY alt_id""")
@@ -134,6 +133,94 @@ def availability_counts(spark, sf_dir):
     return choice_table(spark, sf_dir).groupBy("alt_id").agg(F.count("*").alias("n_available"), F.sum("choice").alias("n_chosen"))
 
 
+def _rule_calls(t: DataFrame, wide: DataFrame) -> dict[str, Callable[[], object]]:
+    """A call of every rule on an input that breaks it and on one that does not."""
+    offered = {a: f"av{a}" for a in range(1, 6)}
+    layout, v = spec.Layout(index=2), validate
+    ordered = t.withColumn("place", F.col("obs_id") * 10 + F.col("alt_id"))
+    nests = lambda s: lambda: v.nests(s, [1, 2, 3])
+    wide_rule = lambda df, k=offered: lambda: v.check_wide(df, "obs_id", "choice", k, {})
+    bind = lambda s, n=None: lambda: spec.bind(s, [1, 2, 3], n)
+    given = lambda *x: lambda: v.parameter_list(list(x), layout)
+    return {
+        "mapping": lambda: v.mapping([], "x"), "mapping_good": lambda: v.mapping({}, "x"),
+        "string": lambda: v.string(1, "x"), "string_good": lambda: v.string("a", "x"),
+        "array": lambda: v.array([1], "x"), "array_good": lambda: v.array(np.zeros(1), "x"),
+        "long_table": lambda: v.long_and_specification([], {}), "long_table_good": lambda: v.long_and_specification(t, {}),
+        "columns_present": lambda: v.columns_present(["q"], t), "columns_present_good": lambda: v.columns_present(["x1"], t),
+        "column_existence": lambda: v.column_existence("x1", t, present=False), "column_existence_good": lambda: v.column_existence("x1", t),
+        "numeric_types": lambda: v.numeric_types(["x1"], t.withColumn("x1", F.lit("a"))), "numeric_types_good": lambda: v.numeric_types(["x1"], t),
+        "finite_null": lambda: v.finite(["x1"], t.withColumn("x1", F.lit(None).cast("double"))),
+        "finite_nan": lambda: v.finite(["x1"], t.withColumn("x1", F.lit(float("nan")))),
+        "finite_infinite": lambda: v.finite(["x1"], t.withColumn("x1", F.lit(float("-inf")))), "finite_good": lambda: v.finite(["x1", "x2"], t),
+        "duplicates": lambda: v.duplicates(t.unionAll(t.limit(1)), "obs_id", "alt_id"), "duplicates_good": lambda: v.duplicates(t, "obs_id", "alt_id"),
+        "no_choice": lambda: v.one_choice_each(t.withColumn("choice", F.lit(0)), "obs_id", "choice"),
+        "many_choices": lambda: v.one_choice_each(t.withColumn("choice", F.lit(2)), "obs_id", "choice"),
+        "one_choice_each_good": lambda: v.one_choice_each(t, "obs_id", "choice"),
+        "alternative_names": lambda: v.alternative_names({99: "a"}, "alt_id", t), "alternative_names_good": lambda: v.alternative_names({1: "a"}, "alt_id", t),
+        "ridge": lambda: v.ridge("a"), "ridge_good": lambda: v.ridge(0.5),
+        "weights_negative": lambda: v.weights(t.withColumn("w", F.lit(-1.0)), "w"), "weights_missing": lambda: v.weights(t, "w"),
+        "weights_good": lambda: v.weights(t, "x2"), "weight_array": lambda: v.weight_array([1, -1], 2), "weight_array_good": lambda: v.weight_array([1, 0], 2),
+        "contiguous": lambda: v.contiguous(ordered.withColumn("place", -F.col("place")), "obs_id", "place"),
+        "contiguous_good": lambda: v.contiguous(ordered, "obs_id", "place"),
+        "all_chosen": lambda: v.all_chosen(t.withColumn("choice", (F.col("alt_id") == 1).cast("int")), "alt_id", "choice"),
+        "all_chosen_good": lambda: v.all_chosen(t, "alt_id", "choice"),
+        "wide_blank": wide_rule(wide.withColumn("choice", F.when(F.col("choice") > 1, F.col("choice")))),
+        "wide_repeated": wide_rule(wide.unionAll(wide.limit(1))), "wide_unknown": wide_rule(wide.withColumn("choice", F.col("choice") + 1)),
+        "wide_absent": wide_rule(wide.withColumn("av5", F.lit(0))), "wide_never_chosen": wide_rule(wide.withColumn("av6", F.lit(1)), offered | {6: "av6"}),
+        "wide_good": wide_rule(wide),
+        "specification_word": bind({"x": "some"}), "specification_depth": bind({"x": [[[1]]]}), "specification_unknown": bind({"x": [9]}),
+        "names_keys": bind({"x": "all_same"}, {"y": "n"}), "names_length": bind({"x": "all_diff"}, {"x": ["a"]}), "specification_good": bind({"x": [[1, 2], 3]}, {"x": ["a", "b"]}),
+        "reference_type": lambda: v.reference_position("a", 3, "x"), "reference_range": lambda: v.reference_position(3, 3, "x"),
+        "reference_needed": lambda: v.reference_position(None, 3, "x", True), "reference_good": lambda: v.reference_position(2, 3, "x"),
+        "name_count": lambda: v.name_count(["a"], 3, True, "x"), "name_count_good": lambda: v.name_count(["a", "b"], 3, True, "x"),
+        "nests_keys": nests({1: [1, 2, 3]}), "nests_values": nests({"a": (1, 2, 3)}), "nests_empty": nests({"a": [1, 2, 3], "b": []}),
+        "nests_numbers": nests({"a": [1, 2, 3.5]}), "nests_shared": nests({"a": [1, 2], "b": [2, 3]}), "nests_missing": nests({"a": [1, 2]}),
+        "nests_unknown": nests({"a": [1, 2, 3, 4]}), "nests_good": nests({"a": [1, 2], "b": [3]}),
+        "parameters_list": given(np.zeros(2)), "parameters_types": given([0, 0], None, None, None), "parameters_length": given(np.zeros(3), None, None, None),
+        "parameters_dimensions": given(np.zeros(2), np.zeros((1, 1)), None, None), "parameters_columns": given(np.zeros((2, 2)), np.zeros((0, 3)), None, None),
+        "parameters_good": given(np.zeros((2, 3)), None, None, None),
+        "chosen_output": lambda: v.chosen_output(None, False), "chosen_output_good": lambda: v.chosen_output("c", False),
+        "mixing_names": lambda: v.mixing_names(["q"], ["x"]), "mixing_names_good": lambda: v.mixing_names(["x"], ["x"]),
+        "model_type": lambda: v.model_type("Probit", ["MNL"]), "model_type_good": lambda: v.model_type("MNL", ["MNL"]),
+        "replicate_kind": lambda: v.replicate_kind("a"), "replicate_kind_good": lambda: v.replicate_kind("jackknife"),
+        "confidence": lambda: v.confidence(100), "confidence_good": lambda: v.confidence(95),
+        "dimensions": lambda: v.dimensions(np.zeros(2), 2, "x"), "dimensions_good": lambda: v.dimensions(np.zeros((2, 2)), 2, "x"),
+        "sampled_ids": lambda: v.sampled_ids(t.select((-F.col("obs_id")).alias("obs_id")), t, "obs_id"),
+        "sampled_ids_good": lambda: v.sampled_ids(t.select("obs_id"), t, "obs_id"),
+    }
+
+
+#: What each rule must do; written out, as the other engine sees no calls.
+_OUTCOMES = {
+    "passes": """mapping_good string_good array_good long_table_good columns_present_good column_existence_good numeric_types_good finite_good
+duplicates_good one_choice_each_good alternative_names_good ridge_good weights_good weight_array_good contiguous_good all_chosen_good wide_good
+specification_good reference_good name_count_good nests_good parameters_good chosen_output_good mixing_names_good model_type_good
+replicate_kind_good confidence_good dimensions_good sampled_ids_good""",
+    "TypeError": "mapping string array long_table ridge nests_keys nests_values parameters_types",
+    "ValueError": """columns_present column_existence numeric_types finite_null finite_nan finite_infinite duplicates no_choice many_choices
+alternative_names weights_negative weights_missing weight_array contiguous all_chosen wide_blank wide_repeated wide_unknown wide_absent
+wide_never_chosen specification_word specification_depth specification_unknown names_keys names_length reference_type reference_range
+reference_needed name_count nests_empty nests_numbers nests_shared nests_missing nests_unknown parameters_list parameters_length
+parameters_dimensions parameters_columns chosen_output mixing_names model_type replicate_kind confidence dimensions sampled_ids""",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{rule}', '{what}')" for what, names in _OUTCOMES.items() for rule in names.split()) + ") AS r(rule, outcome)")
+def rule_outcomes(spark, sf_dir):
+    """Every check, called on whole tables that break it and on whole tables that do not."""
+    rows, long, wide = [], choice_table(spark, sf_dir).persist(), priority_table(spark, sf_dir).persist()
+    for rule, call in _rule_calls(long, wide).items():
+        try:
+            call()
+            rows.append((rule, "passes"))
+        except (TypeError, ValueError) as error:
+            rows.append((rule, type(error).__name__))
+    long.unpersist()
+    wide.unpersist()
+    return spark.createDataFrame(rows, "rule string, outcome string")
+
+
 # --- design and reshape -------------------------------------------------------------------------
 
 
@@ -356,7 +443,8 @@ def _family_sql(name: str) -> str:
 p AS (SELECT *, e / sum(e) OVER (PARTITION BY obs_id) AS p FROM h)"""
 
 
-def _gradient_sql(name: str) -> str:
+def _cells(name: str) -> list[tuple[str, str]]:
+    """(parameter, derivative of the transformed index with respect to it)."""
     cells = []
     if name in ("scobit", "uneven"):
         cells += [(f"Shape_{a}", f"CASE WHEN alt_id = {a} THEN {_DS[name]} ELSE 0e0 END") for a in ALTERNATIVES]
@@ -365,8 +453,28 @@ def _gradient_sql(name: str) -> str:
         cells += [(f"Shape_{a}", f"({_DS[name]}) * {_C} * (CASE WHEN alt_id = {a} THEN 1e0 ELSE 0e0 END - CAST({float(c[a - 1])!r} AS DOUBLE))") for a in ALTERNATIVES[1:]]
     if name != "uneven":
         cells += [(f"Outside_ASC_{a}", f"CASE WHEN alt_id = {a} THEN 1e0 ELSE 0e0 END") for a in ALTERNATIVES[1:]]
-    cells += [(x, f"({_DV[name]}) * {x}") for x in ("x1", "x2")]
-    return _family_sql(name) + " " + " UNION ALL ".join(f"SELECT '{n}' AS name, round(sum((choice - p) * ({e})), 6) + 0e0 AS value FROM p" for n, e in cells)
+    return cells + [(x, f"({_DV[name]}) * {x}") for x in ("x1", "x2")]
+
+
+def _gradient_sql(name: str) -> str:
+    return _family_sql(name) + " " + " UNION ALL ".join(f"SELECT '{n}' AS name, round(sum((choice - p) * ({e})), 6) + 0e0 AS value FROM p" for n, e in _cells(name))
+
+
+def _second_sql(name: str, body: str, cell: str) -> str:
+    """Cells over pairs of some of a family's parameters, from the derivatives of its index."""
+    known = dict(_cells(name))
+    some = _some(name)
+    derivatives = ", ".join(f"({known[n]}) AS d{i}" for i, n in enumerate(some))
+    sums = body.format(
+        m=", ".join(f"sum(p * d{i}) AS m{i}, sum((choice - p) * d{i}) AS g{i}" for i in range(len(some))),
+        s=", ".join(f"sum(p * d{i} * d{j}) AS s{i}_{j}" for i in range(len(some)) for j in range(len(some))),
+    )
+    parts = [f"SELECT '{a}' AS row, '{b}' AS col, {cell.format(i=i, j=j)} AS value FROM o" for i, a in enumerate(some) for j, b in enumerate(some)]
+    return f"{_family_sql(name)}, d AS (SELECT obs_id, choice, p, {derivatives} FROM p), o AS ({sums}) " + " UNION ALL ".join(parts)
+
+
+def _some(name: str) -> list[str]:
+    return [n for n in ("Shape_2", "Shape_5", "Outside_ASC_3", "x1", "x2") if n in dict(_cells(name))]
 
 
 def _split(theta, model):
@@ -374,6 +482,23 @@ def _split(theta, model):
     return [beta, intercepts, shapes, None]
 
 
+#: With constants alone every family's estimates are the logs of the chosen shares.
+_SHARES = """WITH n AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS a, count(*) AS n FROM orders GROUP BY 1)
+SELECT a AS alternative, round(ln(n * 1e0 / (SELECT n FROM n WHERE a = 1)), 3) + 0e0 AS value FROM n WHERE a > 1"""
+
+
+def _shares_model(spark, sf_dir, kind: str, options: dict) -> ChoiceModel:
+    """Constants for priorities 2 to 5 and, outside of those, a variable that is zero throughout."""
+    long = reshape.convert_wide_to_long(priority_table(spark, sf_dir), [], {}, {a: f"av{a}" for a in range(1, 6)}, "obs_id", "choice")
+    inside = "intercept_ref_pos" not in options
+    specification = {"intercept": [2, 3, 4, 5]} if inside else {"zero": "all_same"}
+    return create_choice_model(long.withColumn("zero", F.lit(0.0)), *KEYS, specification, kind, **options)
+
+
+def _share_rows(spark, values) -> DataFrame:
+    return spark.createDataFrame([(a, round(float(v), 3) + 0.0) for a, v in enumerate(values, 2)], "alternative int, value double")
+
+
 def _register_family(name: str) -> None:
     kind, options, theta = _ASYM[name]
 
@@ -385,6 +510,28 @@ def _register_family(name: str) -> None:
         model = _model(spark, sf_dir, kind, **options)
         return _values(spark, list(zip(model.param_names, _totals(model, theta).gradient)))
 
+    def second(spark, sf_dir, which: str):
+        model = _model(spark, sf_dir, kind, **options)
+        matrix, n, at = getattr(_totals(model, theta, True), which), model.data.select("obs_id").distinct().count(), model.param_names.index
+        rows = [(a, b, matrix[at(a), at(b)] / n) for a in _some(name) for b in _some(name)]
+        return _values(spark, rows, "row string, col string, value double")
+
+    def hessian(spark, sf_dir):
+        return second(spark, sf_dir, "hessian")
+
+    def fisher(spark, sf_dir):
+        return second(spark, sf_dir, "information")
+
+    def fit(spark, sf_dir):
+        model = _shares_model(spark, sf_dir, kind, options)
+        held = [i for i, n in enumerate(model.param_names) if n.startswith("Shape") or n == "zero"]
+        found = model.fit_mle(np.zeros(len(model.param_names)), constrained_pos=held, just_point=True, gradient_tol=1e-8, loss_tol=1e-12)
+        return _share_rows(spark, [v for i, v in enumerate(found.x) if i not in held])
+
+    hessian.__name__, fisher.__name__, fit.__name__ = f"{name}_hessian", f"{name}_fisher", f"{name}_fit"
+    query(_second_sql(name, "SELECT obs_id, {m}, {s} FROM d GROUP BY obs_id", "round(-sum(s{i}_{j} - m{i} * m{j}) / count(*), 6) + 0e0"))(hessian)
+    query(_second_sql(name, "SELECT obs_id, {m} FROM d GROUP BY obs_id", "round(sum(g{i} * g{j}) / count(*), 6) + 0e0"))(fisher)
+    query(_SHARES)(fit)
     probability.__name__, gradient.__name__ = f"{name}_probability", f"{name}_gradient"
     query(_family_sql(name) + " SELECT obs_id, alt_id, round(p, 6) AS probability FROM p")(probability)
     query(_gradient_sql(name))(gradient)
@@ -470,6 +617,33 @@ def mixed_loglik(spark, sf_dir):
     return s.agg(F.round(F.sum(F.ln("m")), 6).alias("value")).select(F.lit("log_likelihood").alias("name"), "value")
 
 
+def _mixed_totals(spark, sf_dir):
+    """The kernel that fits, under the given draws."""
+    table = panel_table(spark, sf_dir)
+    draws: dict = {}
+    for unit, _, eta in draw_table(table).orderBy("mix_id", "draw_id").toPandas().itertuples(index=False):
+        draws.setdefault(unit, []).append([eta])
+    model = _mixed(table)
+    return model, _totals(model, np.concatenate([MIXED_BETA, SIGMA]), draws={u: np.array(d) for u, d in draws.items()})
+
+
+_UNIT = f"""WITH {_PANEL}, s AS (SELECT mix_id, draw_id, exp(sum(choice * ln(p))) AS s FROM per_draw GROUP BY mix_id, draw_id),
+w AS (SELECT mix_id, draw_id, s / sum(s) OVER (PARTITION BY mix_id) AS w, avg(s) OVER (PARTITION BY mix_id) AS m FROM s)"""
+
+
+@query(f"{_UNIT} SELECT 'log_likelihood' AS name, round(sum(ln(m)) / 4, 6) AS value FROM w")
+def mixed_kernel_loglik(spark, sf_dir):
+    return _values(spark, [("log_likelihood", _mixed_totals(spark, sf_dir)[1].value)])
+
+
+@query(_UNIT + " UNION ALL ".join(
+    f" SELECT '{n}' AS name, round(sum(w * (choice - p) * {x}), 6) + 0e0 AS value FROM per_draw JOIN w USING (mix_id, draw_id)"
+    for n, x in (("intercept_2", "CASE alt_id WHEN 2 THEN 1 ELSE 0 END"), ("intercept_3", "CASE alt_id WHEN 3 THEN 1 ELSE 0 END"), ("x", "x"), ("Sigma x", "x * eta"))))
+def mixed_kernel_gradient(spark, sf_dir):
+    model, totals = _mixed_totals(spark, sf_dir)
+    return _values(spark, list(zip(model.param_names, totals.gradient)))
+
+
 @query(f"""WITH {_PANEL}, s AS (SELECT mix_id, draw_id, exp(sum(choice * ln(p))) AS s FROM per_draw WHERE obs_id % 2 = 0 GROUP BY mix_id, draw_id),
 w AS (SELECT mix_id, draw_id, s / sum(s) OVER (PARTITION BY mix_id) AS w FROM s)
 SELECT obs_id, alt_id, round(sum(coalesce(w, 0.25e0) * p), 6) AS probability FROM per_draw LEFT JOIN w USING (mix_id, draw_id)
@@ -490,15 +664,19 @@ def strata_counts(spark, sf_dir):
     return sampling.strata_counts(choice_table(spark, sf_dir), "obs_id", "alt_id", "choice")
 
 
-@query(f"""WITH {_LINES}, s AS (SELECT rep, CAST(row_number() OVER (PARTITION BY rep ORDER BY obs_id, twice) AS INTEGER) AS bootstrap_id, obs_id
-FROM (SELECT DISTINCT obs_id, CAST(obs_id % 50 AS INTEGER) AS rep FROM t WHERE obs_id % 50 IN (1, 2)) CROSS JOIN (VALUES (1), (2)) AS n(twice))
+@query(f"""WITH {_LINES}, u AS (SELECT DISTINCT obs_id, rep, (obs_id * 2654435761 + rep * 69069) % 65521 AS u
+FROM t CROSS JOIN (VALUES (1), (2)) AS r(rep)), s AS (SELECT rep, obs_id * 8 + copy AS bootstrap_id, obs_id
+FROM u JOIN (VALUES (1, 24104), (2, 48208), (3, 60260), (4, 64277)) AS n(copy, above) ON u > above)
 SELECT rep, bootstrap_id, obs_id, alt_id, choice, x1 FROM s JOIN t USING (obs_id)""")
 def bootstrap_rows(spark, sf_dir):
+    """Two samples from all observations, each drawn from 0 to 4 times by a hash with the shares of a Poisson(1) count."""
     table = choice_table(spark, sf_dir)
-    some = table.where("obs_id % 50 in (1, 2)").select("obs_id", (F.col("obs_id") % 50).cast("int").alias("rep")).distinct()
-    some = some.select("obs_id", "rep", F.explode(F.array(F.lit(1), F.lit(2))).alias("twice"))
-    order = Window.partitionBy("rep").orderBy("obs_id", "twice")
-    samples = some.withColumn("bootstrap_id", F.row_number().over(order)).select("rep", "bootstrap_id", "obs_id")
+    every = table.select("obs_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("rep")).distinct()
+    u = (F.col("obs_id") * F.lit(2654435761) + F.col("rep") * F.lit(69069)) % 65521
+    copies = F.filter(F.array(*(F.when(u > above, F.lit(n)) for n, above in ((1, 24104), (2, 48208), (3, 60260), (4, 64277)))), lambda x: x.isNotNull())
+    samples = every.select("rep", "obs_id", F.explode(copies).alias("copy")).select(
+        "rep", (F.col("obs_id") * 8 + F.col("copy")).alias("bootstrap_id"), "obs_id"
+    )
     return sampling.bootstrap_rows(table, "obs_id", samples).select("rep", "bootstrap_id", "obs_id", "alt_id", "choice", "x1")
 
 
@@ -506,10 +684,8 @@ def bootstrap_rows(spark, sf_dir):
 SELECT deleted, (SELECT count(*) FROM t) - own AS n_rows, round((SELECT sum(x1) FROM t) - x, 3) AS sum_x1 FROM d""")
 def jackknife_counts(spark, sf_dir):
     """Leave out one alternative at a time."""
-    table = choice_table(spark, sf_dir)
-    deletions = table.select(F.col("alt_id").alias("deleted")).distinct()
-    left = sampling.without_each(table, "alt_id", deletions)
-    return left.groupBy("deleted").agg(F.count("*").alias("n_rows"), F.round(F.sum("x1"), 3).alias("sum_x1"))
+    left = sampling.totals_without_each(choice_table(spark, sf_dir), "alt_id", ["x1"])
+    return left.select("deleted", "n_rows", F.round("x1", 3).alias("sum_x1"))
 
 
 def _replicates(spark, sf_dir) -> DataFrame:
@@ -559,6 +735,34 @@ def asc_only_mle(spark, sf_dir):
     return spark.createDataFrame([(n, round(float(v), 4) + 0.0) for n, v in zip(model.param_names, fit.x)], "name string, value double")
 
 
+@query("""WITH n AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS a, count(*) AS n FROM orders GROUP BY 1)
+SELECT 'intercept_' || a AS name, round(sqrt(1e0 / n + 1e0 / (SELECT n FROM n WHERE a = 1)), 6) AS std_err,
+round(ln(n * 1e0 / (SELECT n FROM n WHERE a = 1)) / sqrt(1e0 / n + 1e0 / (SELECT n FROM n WHERE a = 1)), 3) + 0e0 AS t_stat FROM n WHERE a > 1""")
+def asc_fit_errors(spark, sf_dir):
+    """Standard errors and t values of the constants, whose closed forms are known."""
+    model = _shares_model(spark, sf_dir, "MNL", {})
+    fit = model.fit_mle(np.zeros(4), method="newton-cg", gradient_tol=1e-9)
+    rows = [(n, round(float(e), 6), round(float(v / e), 3) + 0.0) for n, v, e in zip(fit.names, fit.params, fit.std_err)]
+    return spark.createDataFrame(rows, "name string, std_err double, t_stat double")
+
+
+@query(_SHARES)
+def nested_fit(spark, sf_dir):
+    """Nests held at a log-sum coefficient of one leave the constants alone."""
+    model = _shares_model(spark, sf_dir, "Nested Logit", {"nest_spec": {"a": [1, 2], "b": [3, 4, 5]}})
+    fit = model.fit_mle(np.array([40.0, 40.0, 0, 0, 0, 0]), constrained_pos=[0, 1], just_point=True, gradient_tol=1e-8, loss_tol=1e-12)
+    return _share_rows(spark, fit.x[2:])
+
+
+@query("""WITH n AS (SELECT o_orderstatus AS s, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY 1)
+SELECT CASE s WHEN 'O' THEN 2 ELSE 3 END AS alternative, round(ln(n * 1e0 / (SELECT n FROM n WHERE s = 'F')), 3) + 0e0 AS value FROM n WHERE s <> 'F'""")
+def mixed_fit(spark, sf_dir):
+    """The variable's coefficient and spread held at zero leave the constants alone."""
+    model = _mixed(panel_table(spark, sf_dir))
+    fit = model.fit_mle(np.zeros(4), num_draws=4, seed=1, constrained_pos=[2, 3], just_point=True, gradient_tol=1e-8, loss_tol=1e-12)
+    return _share_rows(spark, fit.x[:2])
+
+
 @query()
 def mnl_fit_summary(spark, sf_dir):
     model = _model(spark, sf_dir)

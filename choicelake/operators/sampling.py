@@ -35,7 +35,7 @@ def draw_samples(by_alternative: dict, n_samples: int, seed: int | None = None)
 def samples_frame(df: DataFrame, obs_id: str, alt_id: str, choice: str, n_samples: int, seed: int | None = None) -> DataFrame:
     """(rep, bootstrap_id, obs_id) with the same draws as ``draw_samples``; ids pass through the driver.
 
-    For tables whose ids fit there.  ``distributed_samples`` draws without it.
+    For tables whose ids fit there.  ``multiplicities`` draws without it, though not stratum by stratum.
     """
     pairs = observations_by_choice(df, obs_id, alt_id, choice).collect()
     strata: dict = {}
@@ -75,6 +75,20 @@ def bootstrap_rows(df: DataFrame, obs_id: str, samples: DataFrame, boot_id: str
     return samples.join(df, obs_id)
 
 
+def totals_without_each(df: DataFrame, obs_id: str, columns: list[str]) -> DataFrame:
+    """(deleted, n_rows, and the sum of each column) of the table without each value of ``obs_id``.
+
+    One aggregation per value and one over all: totals less a group's own, so no row is copied.
+    """
+    sums = [F.count("*").alias("n_rows"), *(F.sum(c).alias(c) for c in columns)]
+    own = df.groupBy(F.col(obs_id).alias("deleted")).agg(*sums)
+    total = df.agg(*sums).first()
+    return own.select("deleted", *((F.lit(total[c]) - F.col(c)).alias(c) for c in ("n_rows", *columns)))
+
+
 def without_each(df: DataFrame, obs_id: str, deletions: DataFrame) -> DataFrame:
-    """Leave-one-out tables: for each of ``deletions`` (obs_id as ``deleted``), all rows but its own."""
+    """Leave-one-out tables: for each of ``deletions`` (obs_id as ``deleted``), all rows but its own.
+
+    A copy of the table per deletion, so only for a few of them; sums are better had by ``totals_without_each``.
+    """
     return deletions.join(df, F.col("deleted") != F.col(obs_id))

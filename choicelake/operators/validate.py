@@ -70,16 +70,26 @@ def finite(columns: Iterable[str], df: DataFrame) -> None:
         raise ValueError(f"null, NaN or infinite values in {found}")
 
 
+def repeated_rows(df: DataFrame, obs_id: str, alt_id: str) -> DataFrame:
+    """(obs_id, alt_id, n) of the alternatives that an observation has more than once."""
+    return df.groupBy(obs_id, alt_id).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def duplicates(df: DataFrame, obs_id: str, alt_id: str) -> None:
-    if not df.groupBy(obs_id, alt_id).count().where("count > 1").limit(1).isEmpty():
+    if not repeated_rows(df, obs_id, alt_id).limit(1).isEmpty():
         raise ValueError("an observation has an alternative twice")
 
 
+def choice_totals(df: DataFrame, obs_id: str, choice: str) -> DataFrame:
+    """One row: n_obs observations and n_chosen choices."""
+    return df.agg(F.countDistinct(obs_id).alias("n_obs"), F.sum(F.col(choice).cast("long")).alias("n_chosen"))
+
+
 def one_choice_each(df: DataFrame, obs_id: str, choice: str) -> None:
-    row = df.agg(F.countDistinct(obs_id).alias("n"), F.sum(F.col(choice).cast("long")).alias("c")).first()
-    if (row["c"] or 0) < row["n"]:
+    row = choice_totals(df, obs_id, choice).first()
+    if (row["n_chosen"] or 0) < row["n_obs"]:
         raise ValueError("fewer choices than observations")
-    if row["c"] > row["n"]:
+    if row["n_chosen"] > row["n_obs"]:
         raise ValueError("more choices than observations")
 
 
@@ -139,6 +149,20 @@ def all_chosen(df: DataFrame, alt_id: str, choice: str) -> None:
 # --- wide tables ---------------------------------------------------------------------------
 
 
+def _offered(choice: str, availability: Mapping):
+    """The availability of what a row chose; null if that has no column."""
+    chosen, there = F.col(f"`{choice}`"), None
+    for k, column in availability.items():
+        value = F.col(f"`{column}`")
+        there = F.when(chosen == k, value) if there is None else there.when(chosen == k, value)
+    return F.coalesce(there, F.lit(0))
+
+
+def unavailable_choices(df: DataFrame, choice: str, availability: Mapping) -> DataFrame:
+    """The rows of a wide table that chose what was not offered."""
+    return df.where(_offered(choice, availability) == 0)
+
+
 def check_wide(df: DataFrame, obs_id: str, choice: str, availability: Mapping, alt_specific: Mapping) -> None:
     """All rules of a wide table in one aggregation and one small collect.
 
@@ -147,15 +171,11 @@ def check_wide(df: DataFrame, obs_id: str, choice: str, availability: Mapping, a
     """
     keys = list(availability)
     chosen = F.col(f"`{choice}`")
-    there = None
-    for k, column in availability.items():
-        value = F.col(f"`{column}`")
-        there = F.when(chosen == k, value) if there is None else there.when(chosen == k, value)
     row = df.agg(
         F.count("*").alias("rows"), F.countDistinct(obs_id).alias("obs"),
         F.coalesce(F.max(chosen.isNull()), F.lit(False)).alias("blank"),
         F.coalesce(F.max(~chosen.isin(keys)), F.lit(False)).alias("unknown"),
-        F.coalesce(F.max(F.coalesce(there, F.lit(0)) == 0), F.lit(False)).alias("absent"),
+        F.coalesce(F.max(_offered(choice, availability) == 0), F.lit(False)).alias("absent"),
         F.collect_set(F.when(chosen.isin(keys), chosen)).alias("seen"),  # as many as there are alternatives
     ).first()
     if row["blank"]:
@@ -165,7 +185,7 @@ def check_wide(df: DataFrame, obs_id: str, choice: str, availability: Mapping, a
     if row["unknown"]:
         raise ValueError("a chosen alternative has no availability column")
     if row["absent"]:
-        some = [r[0] for r in df.where(F.coalesce(there, F.lit(0)) == 0).select(obs_id).limit(20).collect()]
+        some = [r[0] for r in unavailable_choices(df, choice, availability).select(obs_id).limit(20).collect()]
         raise ValueError(f"observations chose an unavailable alternative: {some}, ...")
     if never := [k for k in keys if k not in row["seen"]]:
         raise ValueError(f"never chosen: {never}")

@@ -29,7 +29,7 @@ def normal_draws(n_units: int, n_draws: int, n_vars: int, seed: int | None) -> l
     return [rng.standard_normal((n_units, n_draws)) for _ in range(n_vars)]
 
 
-def _unit_draws(ids: np.ndarray, n_draws: int, n_vars: int, seed: int) -> np.ndarray:
+def unit_draws(ids: np.ndarray, n_draws: int, n_vars: int, seed: int) -> np.ndarray:
     """Draws that depend on a unit's id alone, so no partition needs another's: units x draws x variables."""
     out = np.empty((len(ids), n_draws, n_vars))
     for i, key in enumerate(ids):
@@ -70,7 +70,7 @@ class Blocks:
                     if draws is not None:
                         block.draws = np.stack([draws[u] for u in units.tolist()])
                     else:
-                        block.draws = _unit_draws(units, n_draws, mixing, seed)
+                        block.draws = unit_draws(units, n_draws, mixing, seed)
                 return pd.DataFrame({"block": [pickle.dumps(block, protocol=5)]})
 
             for batch in batches:

@@ -9,13 +9,14 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicelake.functions import normal, transforms
 from choicelake.operators import softmax, spec, validate
 from choicelake.plans import kernels
-from choicelake.plans.blocks import Blocks, normal_draws
+from choicelake.plans.blocks import Blocks, unit_draws
 from choicelake.plans.optimize import Outcome, minimise
 from choicelake.sources.tables import read_card, read_table, write_card
 
@@ -100,6 +101,8 @@ class FitResult:
 
 
 _KEYS = ("alt_id_col", "obs_id_col", "choice_col")
+#: What a result makes of its other fields.
+_DERIVED = ("std_err", "robust_std_err")
 
 
 class ChoiceModel:
@@ -126,6 +129,7 @@ class ChoiceModel:
         j = len(alternatives)
         self._check_arguments(j, alternatives, intercept_ref_pos, shape_ref_pos, intercept_names, shape_names, nest_spec, mixing_id_col)
         self.intercept_ref_pos, self.shape_ref_pos = intercept_ref_pos, shape_ref_pos
+        self.intercept_names, self.shape_names = intercept_names, shape_names
         self.nest_spec, self.mixing_id_col, self.mixing_vars = nest_spec, mixing_id_col, list(mixing_vars or ())
         self.data = df
         self.design = spec.bind(specification, alternatives, names)
@@ -288,7 +292,7 @@ class ChoiceModel:
     # --- persistence ---
 
     def save(self, path: str) -> None:
-        """A model card: arguments and, if fitted, parameters and covariance."""
+        """A model card: all arguments and, if fitted, all of the result."""
         r = self.result
         card = {
             "model_type": next(k for k, v in MODELS.items() if v is type(self)), "alternatives": list(self.design.alternatives),
@@ -298,6 +302,8 @@ class ChoiceModel:
             "mixing_id_col": self.mixing_id_col, "mixing_vars": self.mixing_vars, "param_names": self.param_names,
             "params": None if r is None else r.params.tolist(), "cov": None if r is None else r.cov.tolist(),
             "log_likelihood": None if r is None else r.log_likelihood,
+            "intercept_names": self.intercept_names, "shape_names": self.shape_names,
+            "result": None if r is None else {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in vars(r).items() if k not in _DERIVED},
         }
         write_card(self.data.sparkSession, card, path)
 
@@ -479,15 +485,22 @@ class MixedLogit(_NoIntercepts):
         return super().fit_mle(init_vals, num_draws=num_draws, seed=seed, **options)
 
     def draws_of(self, df: DataFrame, num_draws: int, seed: int | None) -> DataFrame:
-        """(mixing id, draw_id, eta_0, ...) for every unit of ``df``; seeded draws in the ids' order.
+        """(mixing id, draw_id, eta_0, ...) for every unit of ``df``: those a fit with this seed uses.
 
-        They pass through the driver: units x draws numbers, for prediction tables.
+        Made from a unit's id and the seed where the unit lies; none passes through the driver.
         """
-        ids = sorted(r[0] for r in df.select(self.mixing_id_col).distinct().collect())
-        made = normal_draws(len(ids), num_draws, len(self.mixing_vars), seed)
-        rows = [(u, r, *(float(m[i, r]) for m in made)) for i, u in enumerate(ids) for r in range(num_draws)]
-        fields = [f"`{self.mixing_id_col}` {dict(df.dtypes)[self.mixing_id_col]}", "draw_id int", *(f"eta_{m} double" for m in range(len(made)))]
-        return df.sparkSession.createDataFrame(rows, ", ".join(fields))
+        count, seed, unit = len(self.mixing_vars), seed or 0, self.mixing_id_col
+        etas = [f"eta_{m}" for m in range(count)]
+
+        def make(batches):
+            for batch in batches:
+                ids = batch[unit].to_numpy()
+                made = unit_draws(ids, num_draws, count, seed).reshape(-1, count)
+                out = {unit: np.repeat(ids, num_draws), "draw_id": np.tile(np.arange(num_draws, dtype="int32"), len(ids))}
+                yield pd.DataFrame(out | {name: made[:, m] for m, name in enumerate(etas)})
+
+        fields = [f"`{unit}` {dict(df.dtypes)[unit]}", "draw_id int", *(f"{e} double" for e in etas)]
+        return df.select(unit).distinct().mapInPandas(make, ", ".join(fields))
 
     def _per_draw(self, df: DataFrame, draws: DataFrame, theta: np.ndarray) -> DataFrame:
         k = self.layout.index
@@ -544,15 +557,15 @@ def load_model(data, path: str) -> ChoiceModel:
     """A saved model over ``data``, with its parameters if it had been fitted."""
     df = read_table(data)
     card = read_card(df.sparkSession, path)
-    options = {k: card[k] for k in ("names", "intercept_ref_pos", "shape_ref_pos", "nest_spec") if card[k] is not None}
+    options = {k: card[k] for k in ("names", "intercept_ref_pos", "shape_ref_pos", "nest_spec", "intercept_names", "shape_names") if card.get(k) is not None}
     if card["mixing_vars"]:
         options |= {"mixing_id_col": card["mixing_id_col"], "mixing_vars": card["mixing_vars"]}
     model = create_choice_model(df, *(card[k] for k in _KEYS), card["specification"], card["model_type"], **options)
-    if card["params"] is not None:
-        k = len(card["params"])
-        nan = np.full((k, k), np.nan)
-        model.result = FitResult(
-            card["param_names"], np.array(card["params"]), card["log_likelihood"], np.nan, np.nan, np.full(k, np.nan), nan, nan,
-            np.array(card["cov"]), nan, np.nan, 0, True, "loaded", 0, 0, 0.0,
-        )
+    if model.design.alternatives != tuple(card["alternatives"]) and list(model.design.alternatives) != card["alternatives"]:
+        raise ValueError(f"the saved model has the alternatives {card['alternatives']}, the data {list(model.design.alternatives)}")
+    if card["result"] is not None:
+        found = dict(card["result"])
+        for name in ("params", "gradient", "hessian", "information", "cov", "robust_cov"):
+            found[name] = np.array(found[name], float)
+        model.result = FitResult(**found | {"constrained": tuple(found["constrained"])})
     return model

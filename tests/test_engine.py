@@ -10,7 +10,7 @@ from choicelake.functions import transforms as T
 from choicelake.operators import intervals
 from choicelake.operators.spec import Layout
 from choicelake.plans import kernels
-from choicelake.plans.blocks import _unit_draws
+from choicelake.plans.blocks import unit_draws
 
 SPATIAL = np.array("48 36 20 29 42 42 20 42 22 41 45 14 6 0 33 28 34 4 32 24 47 41 24 26 30 41".split(), float)
 MICRO = [(1, 1, 0, 1.0), (1, 2, 1, 2.0), (1, 3, 0, 3.0), (2, 1, 0, 1.5), (2, 3, 1, 3.5)]
@@ -37,7 +37,7 @@ def random_block(rng, n=60, k=3, j=4, units=None):
     block = kernels.Block(rng.normal(size=(len(rows), k)), obs, alt, y, w)
     if units:
         block.mix = obs * units // n
-        block.draws = _unit_draws(np.arange(units), 7, 2, 5)
+        block.draws = unit_draws(np.arange(units), 7, 2, 5)
         block.w = np.ones(len(rows))
     return block
 
@@ -186,6 +186,11 @@ def test_every_model_fits_and_predicts(spark, tmp_path):
         if kind in ("Scobit", "Asym"):
             model.save(str(tmp_path / kind))
             again = load_model(df, str(tmp_path / kind))
+            for name, value in vars(fit).items():
+                np.testing.assert_equal(getattr(again.result, name), value)
+            assert (again.param_names, again.result.bic, again.result.rho_squared) == (model.param_names, fit.bic, fit.rho_squared)
+            with pytest.raises(ValueError):
+                load_model(df.withColumn("alt_id", df["alt_id"] + 1), str(tmp_path / kind))
             a = predicted.agg(F.sum(F.col("probability") ** 2)).first()[0]
             assert again.predict(df).agg(F.sum(F.col("probability") ** 2)).first()[0] == pytest.approx(a)
     panel = model.panel_predict(df.where("unit < 3"), 20, seed=3)

@@ -199,10 +199,27 @@ def test_mixed_kernel_agrees_with_aggregation(spark):
     model = create_choice_model(df, *KEYS, {"x": "all_same"}, "Mixed Logit", mixing_id_col="unit", mixing_vars=["x"])
     made = normal_draws(4, 6, 1, 3)[0]
     theta = np.array([0.3, 0.7])
-    by_kernel = model.log_likelihood(theta, draws={u: made[u][:, None] for u in range(4)})
-    per_draw = model._per_draw(df, model.draws_of(df, 6, 3), theta)
-    s = sequences(per_draw, "unit", "choice").groupBy("unit").agg(F.avg("sequence_probability").alias("m"))
-    assert s.agg(F.sum(F.ln("m"))).first()[0] == pytest.approx(by_kernel)
+    given = spark.createDataFrame([(u, d, float(made[u, d])) for u in range(4) for d in range(6)], "unit long, draw_id int, eta_0 double")
+    for draws, by_kernel in (
+        (given, model.log_likelihood(theta, draws={u: made[u][:, None] for u in range(4)})),
+        (model.draws_of(df, 6, 3), model.log_likelihood(theta, num_draws=6, seed=3)),
+    ):
+        per_draw = model._per_draw(df, draws, theta)
+        s = sequences(per_draw, "unit", "choice").groupBy("unit").agg(F.avg("sequence_probability").alias("m"))
+        assert s.agg(F.sum(F.ln("m"))).first()[0] == pytest.approx(by_kernel)
+
+
+def test_seeded_draws_are_the_generator_s():
+    one, two = normal_draws(3, 5, 2, 912)
+    rng = np.random.RandomState(912)
+    assert np.array_equal(one, rng.normal(size=(3, 5))) and np.array_equal(two, rng.normal(size=(3, 5)))
+
+
+def test_totals_without_each_are_those_of_the_copies(long, spark):
+    totals = {r["deleted"]: (r["n_rows"], r["x"]) for r in sampling.totals_without_each(long, "obs_id", ["x"]).collect()}
+    copies = sampling.without_each(long, "obs_id", long.select(F.col("obs_id").alias("deleted")).distinct())
+    want = {r["deleted"]: (r["n"], r["s"]) for r in copies.groupBy("deleted").agg(F.count("*").alias("n"), F.sum("x").alias("s")).collect()}
+    assert totals.keys() == want.keys() and all(totals[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_minimisers():
