@@ -34,6 +34,8 @@ LANES = 4096
 TURN = "turn"
 #: Parts of texts whose ids a worker remembers; when full it starts anew.
 REMEMBERED = 1 << 19
+#: New parts that the library is asked for at once.
+GROUP = 48
 
 
 class Counts:
@@ -214,12 +216,21 @@ class Encoder:
         self.starts = np.zeros(max(vocab.ids.values(), default=0) + 1 + len(vocab.specials), bool)
         self.starts[[i for word, i in vocab.ids.items() if word.startswith(blank) and word not in vocab.specials]] = True
         self.by_parts = not any(" " in s or s.startswith(blank) for s in vocab.specials)
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.bounds = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known parts one after another (none for -1), and where each ends."""
+        length = np.where(numbers < 0, 0, self.bounds[numbers + 1] - self.bounds[numbers])
+        ends = np.cumsum(length)
+        return self.ids[np.repeat(self.bounds[numbers] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def keep(self, parts: list[str]) -> None:
+        """Forget all but these."""
+        kept = [p for p in parts if p in self.known]
+        ids, ends = self.gather(np.array([self.known[p] for p in kept], np.int64))
+        self.known, self.ids, self.bounds = {p: i for i, p in enumerate(kept)}, ids, np.append(0, ends)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -229,7 +240,8 @@ class Encoder:
         at = [i for i in np.flatnonzero(found < 0).tolist() if (p := parts[i]) and not p[0].isspace() and not p[-1].isspace()]
         if at:
             new = [parts[i] for i in at]
-            ids = self.whole(" " + " ".join(new))
+            # the library is fastest at some dozens of words
+            ids = np.concatenate([self.whole(" " + " ".join(new[i : i + GROUP])) for i in range(0, len(new), GROUP)])
             cuts = np.flatnonzero(self.starts[ids])
             if len(cuts) != len(new):
                 raise ValueError("a part does not start with a blank's token")
@@ -245,18 +257,18 @@ class Encoder:
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         offsets = split.offsets.to_numpy()
         parts = split.flatten().dictionary_encode()
-        if len(self.known) + len(parts.dictionary) > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
-            self.forget()
-        number = self.numbers(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+        names = parts.dictionary.to_pylist()
+        if len(self.known) + len(names) > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
+            self.keep(names)
+        number = self.numbers(names)[parts.indices.to_numpy()]
         first = offsets[:-1]
         odd = number < 0
         odd[first] = False
         odd = np.logical_or.reduceat(odd, first).tolist() if len(first) else []
         # the first parts have no blank before them
         number[first] = -1
-        length = np.where(number < 0, 0, self.bounds[number + 1] - self.bounds[number])
-        ends = np.cumsum(length)
-        data = self.ids[np.repeat(self.bounds[number] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        ids, ends = self.gather(number)
+        data = ids.tobytes()
         cuts = np.concatenate([[0], ends[offsets[1:] - 1]]) * 4
         out = []
         for text, strange, a, b in zip(texts, odd, cuts.tolist(), cuts[1:].tolist()):
