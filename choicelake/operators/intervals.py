@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicelake.functions import normal
@@ -32,27 +32,22 @@ def endpoints(lower, upper) -> np.ndarray:
 # --- DataFrames of replicates (rep, parameter, value) --------------------------------------
 
 
-def order_statistic(values: Column, share: float, upper: bool) -> Column:
-    """The value at ``share`` of the sorted values, next lower or next higher; never interpolated."""
-    n = F.size(values)
-    place = F.lit(share) * (n - 1)
-    # a share that is a whole place but for rounding counts as that place
-    near = F.round(place, 9)
-    at = F.ceil(near) if upper else F.floor(near)
-    return F.element_at(F.array_sort(values), (at + 1).cast("int"))
-
-
 def percentile_intervals(replicates: DataFrame, confidence: float) -> DataFrame:
-    """(parameter, lower, upper).
+    """(parameter, lower, upper): order statistics, next lower and next higher, never interpolated.
 
-    A parameter's replicates are gathered in one row: their number is chosen by the
-    caller and does not grow with the data.
+    A parameter's replicates are numbered by a sort that spills, never gathered in one row; nulls
+    are left out.
     """
     validate.confidence(confidence)
     a = alpha(confidence) / 200.0
-    gathered = replicates.groupBy("parameter").agg(F.collect_list("value").alias("v"))
-    return gathered.select(
-        "parameter", order_statistic(F.col("v"), a, False).alias("lower"), order_statistic(F.col("v"), 1 - a, True).alias("upper")
+    some = replicates.where("value is not null").select("parameter", "value")
+    counts = some.groupBy("parameter").agg(F.count("*").alias("n"))
+    ranked = some.withColumn("k", F.row_number().over(Window.partitionBy("parameter").orderBy("value")))
+    # a share that is a whole place but for rounding counts as that place
+    place = lambda share: F.round(F.lit(share) * (F.col("n") - 1), 9)
+    at = lambda k: F.max(F.when(F.col("k") == k + 1, F.col("value")))
+    return ranked.join(counts, "parameter").groupBy("parameter").agg(
+        at(F.floor(place(a))).alias("lower"), at(F.ceil(place(1 - a))).alias("upper")
     )
 
 
