@@ -105,6 +105,9 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     Two segments of 32 bits, radius 1.  Under a key with more than ``HOT`` entries the
     edges only span what all pairs there would connect (see ``_hot_links``), which is what
     components need; a key's work then grows with its entries, not their square.
+
+    Spark takes what is exploded to be as small as before, so unless it is told to sort and merge
+    it may gather all probes in the driver for a broadcast.
     """
     if distance > 3:
         raise ValueError("two segments with radius 1 meet pairs within 3 bits")
@@ -114,7 +117,7 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     any_hot = not hot.isEmpty()
     plain = index.join(hot, "key", "left_anti") if any_hot else index
     found = (
-        probes.alias("q").join(plain.alias("t"), "key")
+        probes.alias("q").join(plain.alias("t").hint("merge"), "key")
         .where((F.col("q.fp") != F.col("t.fp")) & (F.bit_count(F.col("q.fp").bitwiseXOR(F.col("t.fp"))) <= distance))
         .select(F.col("q.fp").alias("a"), F.col("t.fp").alias("b"))
     )
@@ -145,7 +148,7 @@ def _hot_links(probes: DataFrame, distance: int) -> DataFrame:
     )
     least = spots.groupBy("key", "spot").agg(F.min("fp").alias("b"), F.max("anchor").alias("anchored"), F.count("*").alias("n"))
     tied = least.where("anchored and n > 1").select("key", "spot", "b")
-    return spots.join(tied, ["key", "spot"]).select(F.col("fp").alias("a"), "b").where("a != b").distinct()
+    return spots.join(tied.hint("merge"), ["key", "spot"]).select(F.col("fp").alias("a"), "b").where("a != b").distinct()
 
 
 def with_components(docs: DataFrame, k: int = 3, distance: int = 3) -> DataFrame:
@@ -163,7 +166,8 @@ def with_components(docs: DataFrame, k: int = 3, distance: int = 3) -> DataFrame
     )
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     named = cut(labelled.join(least, "label").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    # A left join, though each fp is named: many copies make a small file, which an inner join may broadcast.
+    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:

@@ -242,6 +242,22 @@ def test_hot_keys_give_the_same_components(spark, monkeypatch):
     assert groups(results[0]) == groups(label)
 
 
+def test_probes_and_rows_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """A file of few bytes may hold many probes or copies; no join may gather them in the driver."""
+    path = str(tmp_path / "prints")
+    spark.range(300).selectExpr("id as fp").write.parquet(path)
+    prints = spark.read.parquet(path)
+    inner = lambda df: re.findall(r"(\w+Join) [^\n]*Inner", df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(simhash, "HOT", 10**6)
+    assert set(inner(simhash.links(prints))) == {"SortMergeJoin"}
+    monkeypatch.setattr(simhash, "HOT", 8)
+    joins = inner(simhash.links(prints))
+    assert len(joins) >= 2 and set(joins) == {"SortMergeJoin"}
+    copies = spark.range(300).selectExpr("cast(null as long) as doc_id", "'one and the same text' as text")
+    found = simhash.with_components(copies)
+    assert found.count() == 300 and not inner(found)
+
+
 def test_deduplication_keeps_one_of_each(spark, odd, empty):
     rng = np.random.default_rng(3)
     words = [f"word{i}" for i in range(400)]
