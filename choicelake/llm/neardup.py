@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicelake.llm import simhash
-from choicelake.llm.common import connected_components, discard, free_name, hash_sample, stored
+from choicelake.llm.common import connected_components, discard, free_name, hash_sample, local_table, release, stored
 from choicelake.llm.simhash import fingerprint, shingle_hashes, word_bytes
 
 #: About so many texts tell which shingles are common, and at most so many of those are kept.
@@ -64,6 +64,7 @@ def _sample_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
     @F.pandas_udf("array<long>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         for batch in batches:
             yield pd.Series([np.unique(shingle_hashes(word_bytes(x), k)).view(np.int64) for x in batch])
 
@@ -91,6 +92,7 @@ def _described(docs: DataFrame, k: int, similarity: float, common: np.ndarray, c
 
     @F.pandas_udf(made)
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         seen: dict[int, int] = {}
         for batch in batches:
             rows = []
@@ -187,6 +189,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         words_of, seen = held.value, set()
         last = 64 * len(words_of) - 1
         has = lambda bit: int(words_of[bit >> 6]) >> (bit & 63) & 1
@@ -265,9 +268,7 @@ def _groups(docs: DataFrame, k: int, similarity: float) -> tuple[DataFrame, Data
     common, counts = _sample_counts(docs, k)
     described = stored(_described(docs, k, similarity, common, counts))
     rows = stored(described.select("doc_id", "exact", "node"))
-    hot = spark.createDataFrame(
-        pd.DataFrame({"key": common[counts >= HOT_TEXTS].view(np.int64)}), "key long"
-    )
+    hot = local_table(spark, key=common[counts >= HOT_TEXTS].view(np.int64))
     met = stored(_met(described.where("prefix is not null").select("node", "size", F.posexplode("prefix").alias("place", "key")), hot))
     nodes = stored(described.where("sketch is not null").select("node", "size", "fp", "sketch").dropDuplicates(["node"]))
     discard(described)

@@ -14,7 +14,6 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choicelake.llm import kernel as K
-from choicelake.llm.common import stored
+from choicelake.llm.common import kept_by_worker, local_table, stored
 from choicelake.llm.tokens import Vocabulary, byte_letters
 
 END = 2
@@ -280,7 +279,7 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
@@ -354,9 +353,8 @@ def assign(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             rank[length] += many
             offset += length
         sequence += many
-    schema = "p_length long, rank_from long, rank_to long, first_sequence long, offset long"
-    spots = _merged(places)
-    spots_df = spark.createDataFrame(spots, schema) if spots else spark.createDataFrame([], schema)
+    names = ("p_length", "rank_from", "rank_to", "first_sequence", "offset")
+    spots_df = local_table(spark, **dict(zip(names, zip(*_merged(places)) if places else [()] * len(names))))
 
     # lanes: rank within (length, lane), then that plus the rows of the lanes before
     laned = short.withColumn("lane", lane)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from choicelake.llm import ann, decontam, langid, licenses, neardup, packing, quality, sharding, simhash, tokens, urls
+from choicelake.llm import ann, common, decontam, langid, licenses, neardup, packing, quality, sharding, simhash, tokens, urls
 from choicelake.llm import queries as Q
 from choicelake.llm.license_rules import rules
 
@@ -835,6 +835,48 @@ def test_pipeline_stages_keep_columns_of_clashing_names(spark):
         assert 0 < len(rows) <= len(before) and all(r == before[r["doc_id"]] for r in rows)
 
 
+def test_pipeline_stages_bound_what_workers_get(spark, docs):
+    import corpus_pipeline as pipeline
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [int(batch["text"].str.len().sum())]})
+
+    limit, big = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    largest = lambda: max(r["n"] for r in big.mapInPandas(sizes, "n long").collect())
+    before = spark.conf.get(limit)
+    try:
+        for _, stage in pipeline.STAGES:
+            spark.conf.set(limit, "64m")
+            stage(spark, docs, SF)
+            assert largest() <= common.BATCH_BYTES + 2000  # the row that reaches the limit is the last
+        spark.conf.set(limit, "64k")  # a smaller limit of the session's stays
+        stage(spark, docs, SF)
+        assert largest() <= (1 << 16) + 2000
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_workers_keep_no_encoder_for_other_stages():
+    packing.encoder(Q.tokenizer_path())
+    assert packing.encoder.cache_info().currsize == 1
+    common.release()
+    assert packing.encoder.cache_info().currsize == 0
+
+
+def test_tables_of_the_driver_need_no_worker(spark, docs, monkeypatch):
+    """A table made from a list or a pandas frame is an RDD, for which executors start a second Python daemon."""
+    made = []
+    monkeypatch.setattr(type(spark), "createDataFrame", (lambda f: lambda *a, **b: made.append(f(*a, **b)) or made[-1])(type(spark).createDataFrame))
+    packing.pack(docs, Q.tokenizer_path())
+    packing.pack(docs.limit(0), Q.tokenizer_path())
+    neardup.deduplicated(docs)
+    assert len(made) >= 3
+    assert not any("ExistingRDD" in df._jdf.queryExecution().executedPlan().toString() for df in made)
+
+
 def test_every_operator_has_a_query():
     names = sorted(Q.queries(), key=lambda n: int(re.match(r"op(\d+)_", n)[1]))
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
