@@ -1,12 +1,14 @@
 """What large tables need: few evaluations, small blocks and tasks, nothing of their size on the driver."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from choicelake import create_choice_model
 from choicelake.operators.spec import Layout
 from choicelake.plans import kernels
 from choicelake.plans.blocks import Blocks, squeezed
+from choicelake.plans.models import fit_theta
 
 KEYS = ("alt_id", "obs_id", "choice")
 
@@ -19,6 +21,27 @@ def choices(spark, n, seed=1):
     return long.withColumn("choice", (F.col("alt_id") == picked).cast("int")).withColumn("x", F.pmod(F.xxhash64("obs_id", "alt_id"), F.lit(10_007)) / 10_007.0)
 
 
+@pytest.mark.parametrize("method", ["BFGS", "newton-cg"])
+def test_a_fit_of_large_sums_ends_in_few_evaluations(method):
+    """A gradient of sums over many rows stays above any fixed bound; the search must see that it has arrived."""
+    rng = np.random.default_rng(2)
+    n, x = 5, np.tile(np.eye(5)[:, 1:], (5, 1))
+    obs, alt = np.repeat(np.arange(n), 5), np.tile(np.arange(5), n)
+    counts = rng.uniform(1e7, 2e7, n) * np.pi
+    block = kernels.Block(x, obs, alt, (obs == alt).astype(float), counts[obs])
+    calls = []
+
+    def evaluate(theta, second):
+        calls.append(second)
+        totals = kernels.Family(Layout(index=4), 5).evaluate(theta, block, second)
+        totals.gradient = totals.gradient + rng.normal(size=4) * 1e-5  # what rounding leaves of such sums
+        return totals
+
+    found = fit_theta(evaluate, kernels.Family(Layout(index=4), 5), np.zeros(4), (), None, method, 1e-12, 1e-9, 1000)
+    np.testing.assert_allclose(found.x, np.log(counts[1:] / counts[0]), atol=1e-9)
+    assert len(calls) < 25
+
+
 def test_alike_observations_are_kept_once():
     rng = np.random.default_rng(3)
     kinds = rng.integers(0, 4, 400)
