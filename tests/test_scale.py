@@ -71,3 +71,16 @@ def test_blocks_are_small_and_come_one_by_one(spark):
         assert blocks.n_obs == 60_000
     finally:
         blocks.release()
+
+
+def test_draws_of_units_need_no_driver(spark):
+    df = choices(spark, 300).withColumn("unit", F.col("obs_id") % 40)
+    model = create_choice_model(df, *KEYS, {"x": "all_same"}, "Mixed Logit", mixing_id_col="unit", mixing_vars=["x"])
+    rng, theta = np.random.default_rng(4), np.array([0.3, 0.7])
+    made = rng.normal(size=(41, 5))
+    given = spark.createDataFrame([(u, d, float(made[u, d])) for u in range(41) for d in range(5)], "unit long, draw_id int, eta_0 double")
+    want = model.log_likelihood(theta, draws={u: made[u][:, None] for u in range(41)})
+    assert model.log_likelihood(theta, draws=given) == pytest.approx(want)
+    assert model.log_likelihood(theta, draws=given, block_rows=20) == pytest.approx(want)
+    with pytest.raises(Exception, match="no draws"):
+        model.log_likelihood(theta, draws=given.where("unit <> 7"))
