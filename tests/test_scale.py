@@ -4,11 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from choicelake import create_choice_model
+from choicelake import catalogue, create_choice_model
+from choicelake.operators import softmax
 from choicelake.operators.spec import Layout
 from choicelake.plans import kernels
 from choicelake.plans.blocks import Blocks, squeezed
 from choicelake.plans.models import fit_theta
+from choicelake.sources import tables
 
 KEYS = ("alt_id", "obs_id", "choice")
 
@@ -84,3 +86,17 @@ def test_draws_of_units_need_no_driver(spark):
     assert model.log_likelihood(theta, draws=given, block_rows=20) == pytest.approx(want)
     with pytest.raises(Exception, match="no draws"):
         model.log_likelihood(theta, draws=given.where("unit <> 7"))
+
+
+def test_tasks_keep_their_size(spark):
+    assert tables.dealt(spark.range(10), 40 * tables.TASK_ROWS, "id").rdd.getNumPartitions() == 40
+    plan = catalogue.choice_table(spark, "/root/testdata/sf0.001").groupBy("obs_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    model = create_choice_model(choices(spark, 50), *KEYS, {"x": "all_same"}, "MNL")
+    sets = model.predict(model.data, [np.array([[0.5, -1.0, 0.0]]), None, None, None])
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(array(struct") < plan.index("Window ")  # rows are multiplied after they are sorted
+    assert sets.columns == [*model.data.columns, "set_id", "probability"] and sets.count() == 450
+    one = softmax.flat(model.data, F.col("x") * -1.0, "obs_id")
+    both = sets.where("set_id = 1").join(one.select("obs_id", "alt_id", F.col("probability").alias("p")), ["obs_id", "alt_id"])
+    assert both.agg(F.max(F.abs(F.col("p") - F.col("probability")))).first()[0] < 1e-12
