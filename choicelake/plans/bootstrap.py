@@ -3,13 +3,16 @@
 A replicate is a vector of observation weights: multiplicities for a bootstrap sample, a
 zero for a deletion, near-equal shares for ABC.  The packed table is shipped to executors
 once, after a check of its size, and replicates are fitted in parallel, a task a few at a
-time; rows are never copied.  A larger table keeps its blocks where they are and the
-replicates follow one another, each evaluation a job over the whole cluster.
+time; rows are never copied.  A larger table keeps its blocks where they are: bootstrap samples
+are drawn there and fitted side by side, an evaluation of all of them a job over the whole
+cluster; other replicates follow one another.
 """
 
 from __future__ import annotations
 
 import math
+import queue
+import threading
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import replace
 
@@ -19,11 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choicelake.operators import intervals, sampling, validate
+from choicelake.plans.blocks import Blocks
 from choicelake.plans.kernels import Block, Family
 from choicelake.plans.models import ChoiceModel, MixedLogit, fit_theta
 
-#: Packed tables up to this size are broadcast.
+#: Packed tables up to this size are broadcast, if the samples drawn of them fit with them.
 LOCAL_BYTES = 256 << 20
+#: What a drawn observation takes there: index and weight, in as many copies as the driver holds on their way to tasks.
+DRAWN_BYTES = 5 * 16
+#: Samples that are fitted side by side; a block holds how often each has each of its observations.
+TOGETHER = 64
 
 
 def default_starting_values(model: ChoiceModel, mnl_point: Mapping[str, float]) -> np.ndarray:
@@ -61,10 +69,21 @@ class Boot:
                 finally:
                     blocks.release()
                 self._block = None if block is None else (block, np.arange(len(block.draws)))
-            elif m.data.count() * 8 * (len(m.design.terms) + 4) <= self.local_bytes:
+            elif self._table_bytes() <= self.local_bytes:
                 self._block = _ordered(m)
         return self._block
 
+    def _table_bytes(self) -> int:
+        return self.model.rows * 8 * (len(self.model.design.terms) + 4)
+
+    def _too_large(self, num_samples: int) -> int:
+        """The number of observations, if the table and so many samples of it do not fit the driver; else 0."""
+        m = self.model
+        if isinstance(m, MixedLogit):  # its weights are of units
+            return 0
+        n = m.data.select(m.obs_id_col).distinct().count()
+        return n if self._table_bytes() + DRAWN_BYTES * n * num_samples > self.local_bytes else 0
+
     def refits(self, weights: list[intervals.Weights], init_vals=None, block_options: dict | None = None, **fit_kwargs) -> np.ndarray:
         """(refits x parameters) estimates under each set of weights over the sorted observations.
 
@@ -129,6 +148,12 @@ class Boot:
         With ``mnl_obj`` each sample is first fitted by that model, whose estimates give the
         starting values (``extract_init_vals`` or the default rule).
         """
+        if n_obs := self._too_large(num_samples):
+            parts = [num_samples - i if num_samples - i < TOGETHER else TOGETHER for i in range(0, num_samples, TOGETHER)]
+            seeds = [None if boot_seed is None else boot_seed + i * 1_000_003 for i in range(len(parts))]
+            found = [self._fitted_together(n, s, n_obs, mnl_obj, mnl_init_vals, extract_init_vals, block_options or {}, fit_kwargs) for n, s in zip(parts, seeds)]
+            self.bootstrap_replicates = np.concatenate(found)
+            return self.frame("bootstrap")
         strata, ids = self._strata()
         drawn = sampling.draw_samples(strata, num_samples, boot_seed)
         place = {o: i for i, o in enumerate(ids)}
@@ -139,6 +164,26 @@ class Boot:
         self.bootstrap_replicates = self._with_starts(samples, mnl_obj, mnl_init_vals, extract_init_vals, block_options, fit_kwargs)
         return self.frame("bootstrap")
 
+    def _fitted_together(self, n_samples, seed, n_obs, mnl_obj, mnl_init_vals, extract, block_options, fit_kwargs) -> np.ndarray:
+        """Estimates from samples that are drawn where the observations lie; nothing of their number passes through the driver."""
+        m = self.model
+        samples = sampling.bucket_draws(m.data, m.obs_id_col, m.alt_id_col, m.choice_col, list(m.design.alternatives), n_obs, n_samples, seed)
+
+        def points(model: ChoiceModel, starts: np.ndarray, block_options: dict, **fit_kwargs) -> np.ndarray:
+            constrained = model.constraints(fit_kwargs.pop("constrained_pos", None))
+            blocks = model.blocks(samples=samples, **block_options)
+            try:
+                return fitted_together(blocks, model.family(), starts, constrained, _fit_options(fit_kwargs))
+            finally:
+                blocks.release()
+
+        starts = np.tile(self.estimate, (n_samples, 1))
+        if mnl_obj is not None:
+            first = np.zeros(mnl_obj.layout.size) if mnl_init_vals is None else np.asarray(mnl_init_vals, float)
+            found, rule = points(mnl_obj, np.tile(first, (n_samples, 1)), {}), extract or default_starting_values
+            starts = np.stack([rule(m, dict(zip(mnl_obj.param_names, p))) for p in found])
+        return points(m, starts, block_options, **fit_kwargs)
+
     def generate_jackknife_replicates(self, mnl_obj: ChoiceModel | None = None, mnl_init_vals=None, extract_init_vals: Callable | None = None,
                                       block_options: dict | None = None, **fit_kwargs) -> DataFrame:
         """Refits that leave out one observation each, in the ids' order."""
@@ -236,6 +281,45 @@ class Boot:
         return out
 
 
+def fitted_together(blocks: Blocks, family: Family, starts: np.ndarray, constrained, options: tuple) -> np.ndarray:
+    """(samples x parameters) a fit for each of the blocks' samples; all fits' next evaluations are one job."""
+    asked: queue.SimpleQueue = queue.SimpleQueue()
+
+    def fit(i: int) -> None:
+        answer: queue.SimpleQueue = queue.SimpleQueue()
+
+        def evaluate(theta, second):
+            asked.put((i, theta, second, answer))
+            totals = answer.get()
+            if isinstance(totals, BaseException):
+                raise totals
+            return totals
+
+        try:
+            asked.put((i, fit_theta(evaluate, family, starts[i], constrained, *options).x, None, None))
+        except BaseException as error:  # noqa: BLE001 - raised again by the caller
+            asked.put((i, error, None, None))
+
+    found: dict = {}
+    for i in range(len(starts)):
+        threading.Thread(target=fit, args=(i,), daemon=True).start()
+    while len(found) < len(starts):
+        calls = [asked.get() for _ in range(len(starts) - len(found))]  # each fit still going asks once, or is done
+        found |= {i: x for i, x, _, answer in calls if answer is None}
+        calls = sorted((c for c in calls if c[3] is not None), key=lambda c: c[0])
+        if calls:
+            try:
+                answers = blocks.evaluate_all(family, [c[1] for c in calls], [c[2] for c in calls], [c[0] for c in calls])
+            except Exception as error:  # noqa: BLE001 - each fit ends with it
+                answers = [error] * len(calls)
+            for call, totals in zip(calls, answers):
+                call[3].put(totals)
+    for x in found.values():
+        if isinstance(x, BaseException):
+            raise x
+    return np.stack([found[i] for i in range(len(starts))])
+
+
 def _fit_options(kwargs: dict) -> tuple:
     defaults = {"ridge": None, "method": "BFGS", "loss_tol": 1e-6, "gradient_tol": 1e-6, "maxiter": 1000}
     if unknown := set(kwargs) - set(defaults):
@@ -246,8 +330,8 @@ def _fit_options(kwargs: dict) -> tuple:
 def _ordered(model: ChoiceModel) -> tuple[Block, np.ndarray]:
     """The table as one block, observations in the order of their ids, and those ids."""
     rows = model.data.select(F.col(f"`{model.obs_id_col}`").alias("o"), F.col(f"`{model.alt_id_col}`").alias("a"),
-                             F.col(f"`{model.choice_col}`").cast("double").alias("y"), F.array(*model.design.columns(model.alt_id_col)).alias("x"))
-    frame = rows.toPandas().sort_values(["o", "a"], ignore_index=True)
+                             F.col(f"`{model.choice_col}`").cast("double").alias("y"), *model.design.columns(model.alt_id_col))
+    frame = rows.toArrow().to_pandas().sort_values(["o", "a"], ignore_index=True)
     ids, obs = np.unique(frame["o"].to_numpy(), return_inverse=True)
     alt = np.searchsorted(np.array(model.design.alternatives), frame["a"].to_numpy())
-    return Block(np.vstack(frame["x"].to_numpy()), obs, alt, frame["y"].to_numpy(float), np.ones(len(frame))), ids
+    return Block(frame.iloc[:, 3:].to_numpy(float), obs, alt, frame["y"].to_numpy(float), np.ones(len(frame))), ids

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from choicelake import catalogue, create_choice_model
-from choicelake.operators import softmax
+from choicelake import Boot, catalogue, create_choice_model
+from choicelake.operators import sampling, softmax
 from choicelake.operators.spec import Layout
 from choicelake.plans import kernels
 from choicelake.plans.blocks import Blocks, squeezed
@@ -100,3 +100,33 @@ def test_tasks_keep_their_size(spark):
     one = softmax.flat(model.data, F.col("x") * -1.0, "obs_id")
     both = sets.where("set_id = 1").join(one.select("obs_id", "alt_id", F.col("probability").alias("p")), ["obs_id", "alt_id"])
     assert both.agg(F.max(F.abs(F.col("p") - F.col("probability")))).first()[0] < 1e-12
+
+
+def test_samples_are_drawn_where_observations_lie(spark, monkeypatch):
+    df = choices(spark, 3000).persist()
+    drawn = sampling.bucket_draws(df, "obs_id", "alt_id", "choice", [1, 2, 3], 3000, 50, 7, bucket_obs=100)
+    strata = {r["alternative"]: r["n_obs"] for r in sampling.strata_counts(df, "obs_id", "alt_id", "choice").collect()}
+    assert [d.sum(1).tolist() for d in drawn.draws] == [[strata[a]] * 50 for a in (1, 2, 3)]  # each stratum as large as it is
+    model = create_choice_model(df, *KEYS, {"intercept": [2, 3], "x": "all_same"}, "MNL")
+    fit = model.fit_mle(np.zeros(3))
+    near, far = Boot(model), Boot(model, local_bytes=10_000)
+    monkeypatch.setattr(Boot, "_strata", property(lambda self: pytest.fail("ids on the driver")))
+    far.generate_bootstrap_replicates(60, boot_seed=5)
+    again = Boot(model, local_bytes=10_000)
+    again.generate_bootstrap_replicates(60, boot_seed=5, block_options={"block_rows": 700})
+    np.testing.assert_allclose(far.bootstrap_replicates, again.bootstrap_replicates, atol=1e-6)
+    monkeypatch.undo()
+    near.generate_bootstrap_replicates(60, boot_seed=5)
+    for boot in (near, far):
+        # constants follow from the strata, which a stratified sample keeps; the variable's coefficient varies by its standard error
+        assert np.abs(boot.bootstrap_replicates.mean(0) - fit.params).max() < 0.05
+        assert 0.6 < boot.bootstrap_replicates[:, 2].std() / fit.std_err[2] < 1.5
+    df.unpersist()
+
+
+def test_multiplicities_are_those_of_drawing_with_replacement():
+    n, reps = 40, 4000
+    draws = sampling.BucketDraws(reps, 1, 3, [np.full((reps, 1), n)])
+    times = draws.times(np.zeros(n, int), np.arange(n), np.zeros(n, int), np.ones(n))
+    assert (times.sum(1) == n).all()
+    assert np.abs(times.mean(0) - 1).max() < 0.08 and np.isclose(times.var(), 1 - 1 / n, atol=0.02)
