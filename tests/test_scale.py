@@ -90,6 +90,8 @@ def test_draws_of_units_need_no_driver(spark):
 
 def test_tasks_keep_their_size(spark):
     assert tables.dealt(spark.range(10), 40 * tables.TASK_ROWS, "id").rdd.getNumPartitions() == 40
+    counts = [tables.dealt(spark.range(10), n * tables.TASK_ROWS, "id").rdd.getNumPartitions() for n in (200, 700, 900)]
+    assert counts == [200, 200, 900]
     plan = catalogue.choice_table(spark, "/root/testdata/sf0.001").groupBy("obs_id").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
     model = create_choice_model(choices(spark, 50), *KEYS, {"x": "all_same"}, "MNL")
